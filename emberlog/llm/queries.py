@@ -17,6 +17,19 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.quality import apply_policy, ledger
+
+    rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return apply_policy(rows, "v3").drop("text")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.quality import ablation, ledger
+
+    return ablation(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.packing import pack
 
@@ -31,10 +44,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
+        "quality_ablation": quality_ablation,
         "op8_packing": op8_packing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from emberlog.llm import quality
+
+    return {
+        "op1_quality_rules": quality.policy_sql("v3"),
+        "quality_ablation": quality.ablation_sql(),
+    }
