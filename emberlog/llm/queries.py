@@ -30,6 +30,18 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "mix_source")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.packing import pack
 
@@ -46,6 +58,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "quality_ablation": quality_ablation,
+        "op2_mixing": op2_mixing,
+        "op5_language_id": op5_language_id,
         "op8_packing": op8_packing,
         "op10_token_counts": op10_token_counts,
     }
