@@ -42,6 +42,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.packing import pack
 
@@ -60,15 +66,17 @@ def queries() -> dict[str, Query]:
         "quality_ablation": quality_ablation,
         "op2_mixing": op2_mixing,
         "op5_language_id": op5_language_id,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from emberlog.llm import quality
+    from emberlog.llm import jaccard, quality
 
     return {
         "op1_quality_rules": quality.policy_sql("v3"),
         "quality_ablation": quality.ablation_sql(),
+        "op7_jaccard_join": jaccard.COMPONENTS_SQL,
     }
