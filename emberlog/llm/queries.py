@@ -36,6 +36,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "mix_source")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.langid import identify
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": op1_quality_rules,
         "quality_ablation": quality_ablation,
         "op2_mixing": op2_mixing,
+        "op4_pii": op4_pii,
         "op5_language_id": op5_language_id,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
