@@ -60,6 +60,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.substrings import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.token_counts import token_counts
 
@@ -75,15 +81,17 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from emberlog.llm import jaccard, quality
+    from emberlog.llm import jaccard, quality, substrings
 
     return {
         "op1_quality_rules": quality.policy_sql("v3"),
         "quality_ablation": quality.ablation_sql(),
         "op7_jaccard_join": jaccard.COMPONENTS_SQL,
+        "op9_substring_dedup": substrings.DEDUP_SQL,
     }
