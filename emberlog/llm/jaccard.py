@@ -7,9 +7,10 @@ sets then share at least k.
 
 1. Every class writes the prefix for k = ``matches``(n), one posting per shingle.
 2. One shuffle by shingle counts postings. Shingles in a single class are gone.
-3. A class whose first n - o(n) + 1 shingles meet few others (``COST``) stays with k = 1. The others
-   take the longer prefix and must share more: of any k shared shingles the rarest one is not among
-   the k - 1 most frequent of either class, so these leave the index.
+3. A class with fewer than k posted shingles has no link and leaves. One whose first n - o(n) + 1
+   shingles meet few others (``COST``) is indexed by these. The others take the longer prefix and must
+   share more: of any k shared shingles the rarest one is not among the k - 1 most frequent of either
+   class, so these leave the index.
 4. In each posting list every class is paired with one hub; verified links join components. Later
    rounds pair only classes of one list that are still in different components, first with another
    hub, at last all of them. Pairs inside a component change nothing, so groups of copies never
@@ -153,9 +154,10 @@ def index(docs: DataFrame) -> DataFrame:
     ranked = ranked.filter(F.col("cost") > 0).withColumn("met", F.count("*").over(own)).withColumn("heat", F.row_number().over(own.orderBy(F.desc("df"), "token")))
     # Any partner has at least 3n/4 shingles, so at least this many are shared in both longer prefixes.
     sure = matches(needed(F.col("n")))
+    ranked = ranked.filter(F.col("met") >= sure)
     long = F.col("cost") > COST
     one = ranked.filter(F.col("base") & (F.col("df") <= COST + 1)).select(F.lit(1).alias("level"), "token", "key", "n")
-    two = ranked.filter(long & (F.col("met") >= sure) & (F.col("heat") >= sure)).select(F.lit(2).alias("level"), "token", "key", "n")
+    two = ranked.filter(long & (F.col("heat") >= sure)).select(F.lit(2).alias("level"), "token", "key", "n")
     return one.unionByName(two)
 
 

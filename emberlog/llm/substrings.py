@@ -38,6 +38,7 @@ from emberlog.llm.words import let, sha256_utf8, words
 WINDOW = 20
 ROUNDS = 3
 BITS = 1 << 25
+RUN_BYTES = 3 << 20  # texts worked on together; their arrays take some forty times as much
 _U = np.uint64
 _LEVEL = _U(62)
 
@@ -145,7 +146,7 @@ def _slots(key: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch and symbol: 1, or 2 if two texts or two places of a text hold it."""
     for b in batches:
-        for part in runs(b.column("text")):
+        for part in runs(b.column("text"), RUN_BYTES):
             h, bounds = word_names(part)
             start, key, value = filed(h, bounds)
             doc = np.searchsorted(bounds, start, "right")
@@ -165,7 +166,7 @@ def _file(bits: np.ndarray):
         """Per text and symbol that may repeat: starts and hashes of its windows."""
         for b in batches:
             begin = 0
-            for part in runs(b.column("text")):
+            for part in runs(b.column("text"), RUN_BYTES):
                 h, bounds = word_names(part)
                 start, key, value = filed(h, bounds)
                 slot = _slots(key)
