@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.words import let, sha256_utf8
+from emberlog.llm.words import let, running_sums, sha256_utf8
 
 KINDS = ["email", "ip", "card", "phone"]
 # A search goes on at the end of the last match (\G) or at the start of a run of the pattern's first
@@ -41,7 +41,7 @@ BASE_PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 # Candidates beyond the base kinds: written-out addresses, numbers in groups, and numbers with an area code.
 MORE_PATTERNS = {
-    "email": rf"(?i){_LOCAL}{{1,64}}\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?[A-Za-z0-9-]{{1,63}}\x20?[\[(]?\x20?\bdot\b\x20?[\])]?\x20?[A-Za-z]{{2,24}}\b",
+    "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?[A-Za-z0-9-]{{1,63}}\x20?[\[(]?\x20?\bdot\b\x20?[\])]?\x20?[A-Za-z]{{2,24}}\b",
     "phone": r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
 CONTEXT = 24
@@ -52,25 +52,28 @@ RATE = 0.5
 PRECISION = 0.9
 
 
-def _spans(text: Column, pattern: str, needs: str | None) -> Column:
-    """array<struct<start, stop, value>> of the matches, by the lengths of matches and of the pieces between them."""
+_SPAN = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
 
-    def build(found: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
 
-        sizes = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(between, i)).alias("gap"), F.char_length(m).alias("size"), m.alias("value")))
+def _spans(text: Column, pattern: str, needs: str | None, plausible) -> Column:
+    """The plausible matches with the characters beside them, up to the next match: ``_SPAN``.
+
+    Positions are running sums of the lengths of matches and of the pieces between them.
+    """
 
-        def add(acc: Column, s: Column) -> Column:
-            begin = acc["at"] + s["gap"]
-            one = F.struct(begin.alias("start"), (begin + s["size"]).alias("stop"), s["value"].alias("value"))
-            return F.struct((begin + s["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def build(found: Column, between: Column) -> Column:
+        sizes = F.transform(found, lambda m, i: F.char_length(F.get(between, i)) + F.char_length(m))
 
-        return F.aggregate(sizes, start, add)["out"]
+        def one(m: Column, i: Column, ends: Column) -> Column:
+            stop = F.get(ends, i)
+            fields = {"start": stop - F.char_length(m), "stop": stop, "value": m, "before": F.right(F.get(between, i), F.lit(CONTEXT)), "after": F.left(F.get(between, i + 1), F.lit(1))}
+            return F.when(plausible(m), F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+        return let(running_sums(sizes), lambda ends: F.filter(F.transform(found, lambda m, i: one(m, i, ends)), lambda s: s.isNotNull()))
 
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     hit = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
-    matched = lambda t, between: build(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), between)
-    return F.when(hit, let(text, lambda t: let(F.split(t, pattern, -1), lambda between: matched(t, between)))).otherwise(none)
+    matched = lambda t, between: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: build(found, between))
+    return F.when(hit, let(text, lambda t: let(F.split(t, pattern, -1), lambda between: matched(t, between)))).otherwise(F.array().cast(_SPAN))
 
 
 def luhn(digits: Column) -> Column:
@@ -97,27 +100,31 @@ def valid(kind: str, value: Column) -> Column:
     return (n >= 10) & (n <= 15)
 
 
+def _plausible(kind: str, base: bool):
+    """Which matches are proposed: a card number has 12 to 22 digits or so, with at most a separator between two."""
+    return (lambda m: (F.char_length(m) >= 12) & (F.char_length(m) <= 43)) if kind == "card" and base else lambda m: F.lit(True)
+
+
 def candidates(text: Column) -> Column:
-    """All proposed spans: array<struct<start, stop, kind, base, confirmed, value>>, kinds in order."""
+    """All proposed spans: array<struct<start, rank, stop, kind, base, confirmed, value, before, after>>, kinds in order."""
     def tagged(kind: str, base: bool):
         def one(s: Column) -> Column:
             confirmed = valid(kind, s["value"]) if base else F.lit(False)
-            fields = {"start": s["start"], "rank": F.lit(KINDS.index(kind)), "stop": s["stop"], "kind": F.lit(kind), "base": F.lit(base), "confirmed": confirmed, "value": s["value"]}
+            fields = {"start": s["start"], "rank": F.lit(KINDS.index(kind)), "stop": s["stop"], "kind": F.lit(kind), "base": F.lit(base), "confirmed": confirmed, "value": s["value"], "before": s["before"], "after": s["after"]}
             return F.struct(*[c.alias(name) for name, c in fields.items()])
 
         return one
 
     sets = ((BASE_PATTERNS, True), (MORE_PATTERNS, False))
-    return F.concat(*[F.transform(_spans(text, patterns[kind], _NEEDS[kind] if base else None), tagged(kind, base)) for kind in KINDS for patterns, base in sets if kind in patterns])
+    return F.concat(*[F.transform(_spans(text, patterns[kind], _NEEDS[kind] if base else None, _plausible(kind, base)), tagged(kind, base)) for kind in KINDS for patterns, base in sets if kind in patterns])
 
 
 # Features by name: whole numbers of few values over a candidate and the text around it.
 FEATURES = ["kind", "digits", "groups", "cue", "left", "right"]
 
 
-def _features(text: Column, s: Column) -> Column:
-    before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    after = F.substring(text, s["stop"] + 1, F.lit(1))
+def _features(s: Column) -> Column:
+    before, after = s["before"], s["after"]
     digits = F.length(F.regexp_replace(s["value"], "[^0-9]", ""))
     side = lambda c: F.when(c == "", 0).when(c.rlike(r"[\x20\x09-\x0D]"), 1).when(c.rlike("[A-Za-z0-9]"), 2).otherwise(3)
     return F.struct(
@@ -125,7 +132,7 @@ def _features(text: Column, s: Column) -> Column:
         F.least(F.floor(digits / 2), F.lit(12)).cast("int").alias("digits"),
         F.least(F.size(F.split(s["value"], r"[^A-Za-z0-9]+")), F.lit(7)).alias("groups"),
         F.when(before.rlike(CUES), 1).otherwise(0).alias("cue"),
-        side(F.substring(before, -1, 1)).alias("left"),
+        side(F.right(before, F.lit(1))).alias("left"),
         side(after).alias("right"),
     )
 
@@ -191,22 +198,22 @@ def boost(rows: list[dict]) -> tuple[list[Tree], float]:
 def train(docs: DataFrame) -> tuple[list[Tree], float]:
     """Boosted trees from the base candidates of all documents, confirmed or refuted by their format."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    vector = lambda t: lambda c: F.struct(_features(t, c).alias("f"), c["confirmed"].alias("ok"))
-    found = let(text, lambda t: F.transform(F.filter(candidates(t), lambda c: c["base"]), vector(t)))
+    vector = lambda c: F.struct(_features(c).alias("f"), c["confirmed"].alias("ok"))
+    found = let(text, lambda t: F.transform(F.filter(candidates(t), lambda c: c["base"]), vector))
     each = docs.select(F.explode(found).alias("c")).select("c.f", "c.ok")
     vectors = each.groupBy("f").agg(F.count_if("ok").alias("positive"), F.count_if(~F.col("ok")).alias("negative"))
     rows = vectors.select("f.*", "positive", "negative").orderBy(F.desc(F.col("positive") + F.col("negative")), *FEATURES).limit(VECTORS).collect()
     return boost([r.asDict() for r in rows])
 
 
-def _selected(text: Column, found: Column, model: tuple[list[Tree], float]) -> Column:
+def _selected(found: Column, model: tuple[list[Tree], float]) -> Column:
     """Confirmed base spans, and further ones whose score reaches the threshold; by start, then kind."""
     trees, threshold = model
 
     def scored(s: Column) -> Column:
         if not trees or math.isinf(threshold):
             return F.lit(False)
-        return let(_features(text, s), lambda x: sum((t.column(x) for t in trees), F.lit(0.0)) >= threshold)
+        return let(_features(s), lambda x: sum((t.column(x) for t in trees), F.lit(0.0)) >= threshold)
 
     return F.sort_array(F.filter(found, lambda s: F.when(s["base"], s["confirmed"]).otherwise(scored(s))))
 
@@ -219,7 +226,7 @@ def with_spans(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -
     """Adds ``pii_text`` (null as empty) and ``pii`` (the selected spans); fits the trees first unless they are given."""
     model = model or train(docs)
     text = docs.drop("pii", "pii_text").withColumn("pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return text.withColumn("pii", let(F.col("pii_text"), lambda t: let(candidates(t), lambda c: _selected(t, c, model))))
+    return text.withColumn("pii", let(F.col("pii_text"), lambda t: let(candidates(t), lambda c: _selected(c, model))))
 
 
 def find(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
@@ -236,16 +243,18 @@ def redact(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> Da
     ``n_chars`` follows the new text. Null texts stay null.
     """
     marked = with_spans(docs, model)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # A span opens a replacement if it begins at or after all ends before it.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<gap:int,start:int,stop:int,rank:int>>").alias("out"))
 
-    def step(t: Column, acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
+    def step(acc: Column, s: Column) -> Column:
+        one = F.struct(acc["at"].alias("gap"), s["start"].alias("start"), s["stop"].alias("stop"), s["rank"].alias("rank"))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
     def cleaned(t: Column, spans: Column) -> Column:
-        return let(F.aggregate(spans, start, lambda acc, s: step(t, acc, s)), lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
+        label = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["rank"] + 1)
+        part = lambda s: F.concat(F.substring(t, s["gap"] + 1, s["start"] - s["gap"]), label(s))
+        return let(F.aggregate(spans, start, step), lambda acc: F.concat(F.array_join(F.transform(acc["out"], part), ""), F.substring(t, acc["at"] + 1, F.char_length(t))))
 
     new = F.when(F.size("pii") > 0, cleaned(F.col("pii_text"), F.col("pii"))).otherwise(F.col("text"))
     out = marked.withColumn("text", new)

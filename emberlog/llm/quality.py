@@ -67,15 +67,17 @@ def repeat_words(array: Column, k: int = WINDOW) -> Column:
     Hashes find the windows that may repeat; the words themselves decide.
     """
 
+    at = lambda w, i: [F.get(w, i + j) for j in range(k)]
+
     def exact(w: Column, hashes: Column) -> Column:
         maybe = _repeated(F.transform(hashes, lambda h, i: F.struct(h.alias("key"), i.alias("place"))))
-        real = _repeated(F.transform(maybe, lambda i: F.struct(F.array_join(F.slice(w, i + 1, k), " ").alias("key"), i.alias("place"))))
+        real = _repeated(F.transform(maybe, lambda i: F.struct(F.concat_ws(" ", *at(w, i)).alias("key"), i.alias("place"))))
         start = F.struct(F.lit(-k).alias("last"), F.lit(0).alias("total"))
         step = lambda acc, i: F.struct(i.alias("last"), (acc["total"] + F.least(F.lit(k), i - acc["last"])).alias("total"))
         return F.aggregate(F.sort_array(real), start, step)["total"]
 
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*at(w, i)))
         return F.when(F.size(w) <= k, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact(w, h))))
 
     return let(array, of)

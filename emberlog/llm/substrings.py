@@ -217,11 +217,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def _kept(w, starts):
-    """Words that no window of ``starts`` covers; the gaps between covered stretches are joined."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    gap = lambda acc, s: F.when(s > acc["at"], F.concat(acc["out"], F.slice(w, acc["at"] + 1, F.greatest(s - acc["at"], F.lit(0))))).otherwise(acc["out"])
-    done = F.aggregate(starts, begin, lambda acc, s: F.struct((s + WINDOW).alias("at"), gap(acc, s).alias("out")))
-    return F.concat(done["out"], F.slice(w, done["at"] + 1, F.size(w)))
+    """Words that no window of ``starts`` covers: the pieces between the covered stretches."""
+    opens = lambda s, i: (i == 0) | (s > F.get(starts, i - 1) + WINDOW)
+    closes = lambda s, i: (i == F.size(starts) - 1) | (F.get(starts, i + 1) > s + WINDOW)
+    begins = F.concat(F.filter(starts, opens), F.array(F.size(w)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(F.filter(starts, closes), lambda s: s + WINDOW))
+    return F.when(F.size(starts) == 0, w).otherwise(F.flatten(F.zip_with(ends, begins, lambda e, b: F.slice(w, e + 1, b - e))))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     joined = kept.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
     none = F.array().cast("array<int>")
-    result = let(words(text), lambda w: let(_kept(w, F.coalesce("starts", none)), lambda k: F.struct(F.size(w).cast("long").alias("n_words"), (F.size(w) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, " ").alias("kept_text"))))
+    result = let(words(text), lambda w: let(let(F.coalesce("starts", none), lambda s: _kept(w, s)), lambda k: F.struct(F.size(w).cast("long").alias("n_words"), (F.size(w) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, " ").alias("kept_text"))))
     return joined.withColumn("_r", result).select(*kept.columns, "_r.n_words", "_r.n_removed", "_r.kept_text")
 
 

@@ -68,6 +68,8 @@ def personal(text: str | None) -> list[tuple[int, int, str, int]]:
     """Base spans as (start, rank, kind, end)."""
     out = []
     for rank, (kind, pattern) in enumerate(BASE.items()):
+        if kind == "email" and "@" not in (text or ""):
+            continue  # the plain pattern takes the square of a long word's length
         for m in re.finditer(pattern, text or "", re.ASCII):
             digits = re.sub("[^0-9]", "", m[0])
             ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
