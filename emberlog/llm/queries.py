@@ -36,6 +36,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "mix_source")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.fingerprints import robustness
+
+    return robustness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.pii import find
 
@@ -48,6 +54,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.sharding import assign, digest
+
+    return digest(assign(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.jaccard import jaccard_components
 
@@ -77,8 +89,10 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": op1_quality_rules,
         "quality_ablation": quality_ablation,
         "op2_mixing": op2_mixing,
+        "op3_fingerprints": op3_fingerprints,
         "op4_pii": op4_pii,
         "op5_language_id": op5_language_id,
+        "op6_sharding": op6_sharding,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_packing": op8_packing,
         "op9_substring_dedup": op9_substring_dedup,
