@@ -78,43 +78,43 @@ def schedule(share: DataFrame) -> DataFrame:
 
 
 def slots(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
-    """Adds mix_source, mix_bytes, mix_block, mix_slot and _from, the bytes of the source before the document.
+    """_row (the document's own columns), _id, mix_source, mix_bytes, mix_block, mix_slot and _from, the bytes of the source before the document.
 
     The running sum of bytes in a source is taken in ``BUCKETS`` hashed parts, so a source that holds
     most rows is spread over as many tasks.
     """
     size = F.greatest(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)), F.lit(1)).cast("long")
     mark = F.xxhash64("doc_id", F.col("text").cast("string"))
-    kept = docs.drop(*ADDED)
-    sized = kept.withColumn("mix_source", F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))).withColumn("mix_bytes", size)
-    sized = sized.withColumn("_mark", mark).withColumn("_bucket", F.pmod("_mark", F.lit(BUCKETS)).cast("int"))
+    own = F.struct(*[c for c in docs.columns if c not in ADDED]).alias("_row")
+    sized = docs.select(own, F.col("doc_id").alias("_id"), F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("mix_source"), size.alias("mix_bytes"), mark.alias("_mark"))
+    sized = sized.withColumn("_bucket", F.pmod("_mark", F.lit(BUCKETS)).cast("int"))
 
     narrow = sized.groupBy("mix_source", "_bucket").agg(F.sum("mix_bytes").alias("bytes"))
     offsets = offset_by_bucket(narrow, "_bucket", F.col("bytes"), ["mix_source"])
     named = {f"s:{k}": v for k, v in weights.items()} if weights is not None else None
     plan = schedule(shares(narrow.groupBy("mix_source").agg(F.sum("bytes").alias("bytes")), named, period=period))
 
-    before = Window.partitionBy("mix_source", "_bucket").orderBy("_mark", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("mix_source", "_bucket").orderBy("_mark", "_id").rowsBetween(Window.unboundedPreceding, -1)
     # BUCKETS rows a source, and one period: both follow the number of sources.
     placed = sized.withColumn("_inside", F.coalesce(F.sum("mix_bytes").over(before), F.lit(0))).join(F.broadcast(offsets), ["mix_source", "_bucket"])
     placed = placed.withColumn("_from", F.col("bucket_offset") + F.col("_inside")).withColumn("mix_block", F.floor(F.col("_from") / block_bytes).cast("long"))
     turns = plan.groupBy("mix_source").agg(F.max("slots").alias("slots"), F.max("period").alias("period"), F.transform(F.sort_array(F.collect_list(F.struct("turn", "slot"))), lambda x: x["slot"]).alias("table"))
     in_slots = placed.join(F.broadcast(turns), "mix_source")
     slot = F.floor(F.col("mix_block") / F.col("slots")) * F.col("period") + F.get("table", F.pmod("mix_block", "slots").cast("int"))
-    slotted = in_slots.withColumn("mix_slot", slot.cast("long")).select(*kept.columns, "mix_source", "mix_bytes", "mix_block", "mix_slot", "_from")
+    slotted = in_slots.withColumn("mix_slot", slot.cast("long")).select("_row", "_id", "mix_source", "mix_bytes", "mix_block", "mix_slot", "_from")
     return slotted
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
     """Adds mix_source, mix_bytes, mix_block (of the source), mix_slot and mix_position (0, 1, ... in the mixed order)."""
-    return _position(slots(docs, weights, block_bytes, period)).drop("_from")
+    return _position(slots(docs, weights, block_bytes, period)).select("_row.*", *ADDED)
 
 
 def _position(slotted: DataFrame) -> DataFrame:
     """A count per run of slots, then the place inside the run."""
     tagged = slotted.withColumn("_run", F.floor(F.col("mix_slot") / SLOTS_PER_BUCKET))
     offsets = offset_by_bucket(tagged, "_run", F.lit(1))
-    inside = F.row_number().over(Window.partitionBy("_run").orderBy("mix_slot", "_from", "doc_id"))
+    inside = F.row_number().over(Window.partitionBy("_run").orderBy("mix_slot", "_from", "_id"))
     return tagged.withColumn("_place", inside).join(offsets, "_run").withColumn("mix_position", (F.col("bucket_offset") + F.col("_place") - 1).cast("long")).drop("_run", "_place", "bucket_offset")
 
 
@@ -124,4 +124,4 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, blo
     Slots order them; no global position is needed for that.
     """
     mixed = slots(docs, weights, block_bytes)
-    return mixed.repartitionByRange("mix_slot", "_from", "doc_id").sortWithinPartitions("mix_slot", "_from", "doc_id").select(*docs.columns)
+    return mixed.repartitionByRange("mix_slot", "_from", "_id").sortWithinPartitions("mix_slot", "_from", "_id").select(*[F.col(f"_row.{c}") if c not in ADDED else F.col(c) for c in docs.columns])

@@ -242,7 +242,7 @@ def redact(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> Da
 
     ``n_chars`` follows the new text. Null texts stay null.
     """
-    marked = with_spans(docs, model)
+    marked = with_spans(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
     # A span opens a replacement if it begins at or after all ends before it.
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<gap:int,start:int,stop:int,rank:int>>").alias("out"))
 
@@ -257,7 +257,7 @@ def redact(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> Da
         return let(F.aggregate(spans, start, step), lambda acc: F.concat(F.array_join(F.transform(acc["out"], part), ""), F.substring(t, acc["at"] + 1, F.char_length(t))))
 
     new = F.when(F.size("pii") > 0, cleaned(F.col("pii_text"), F.col("pii"))).otherwise(F.col("text"))
-    out = marked.withColumn("text", new)
+    replaced = {"text": new}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        replaced["n_chars"] = F.when(F.size("pii") > 0, F.char_length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return marked.select(*[replaced.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])

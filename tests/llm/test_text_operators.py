@@ -46,7 +46,9 @@ def test_pii(docs, table_docs):
 
 
 def test_redaction_leaves_no_base_span(docs):
+    assert pii.redact(docs).columns == docs.columns
     for r in pii.redact(docs).collect():
+        assert "pii" not in docs.columns or r["pii"] == "other"
         assert r["text"] is None or not [x for x in brute.personal(r["text"]) if x[2] != "card"]
 
 
@@ -190,5 +192,5 @@ def test_mixing_keeps_rows(spark, frame):
 def test_empty_tables(spark, tmp_path):
     none = documents(spark, [])
     path = public_tokenizers.path("byte_bpe_50k.json")
-    for f in (quality.ledger, quality.ablation, pii.find, pii.redact, jaccard.jaccard_components, jaccard.keep_one, substrings.dedup, langid.identify, mixing.mix, mixing.in_mixed_order, lambda d: packing.pack(d, path), lambda d: token_counts.token_counts(d, path)):
+    for f in (quality.ledger, lambda d: quality.ablation(quality.ledger(d)), pii.find, pii.redact, jaccard.jaccard_components, jaccard.keep_one, substrings.dedup, langid.identify, mixing.mix, mixing.in_mixed_order, lambda d: packing.pack(d, path), lambda d: token_counts.token_counts(d, path)):
         assert f(none).count() == 0
