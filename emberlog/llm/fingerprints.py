@@ -98,16 +98,17 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the
     next document, in descending order of doc_id, nulls last; of several texts of one id the one of
-    smallest hash is the next document.
+    smallest hash is the next document. Ids name documents: rows of one id meet in one task.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     sizes = rows.select("doc_id", "mark", F.floor(F.char_length("text") / 3).cast("int").alias("need"))
     pairs = checkpointed(_next(sizes.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.max("need").alias("need"))))
     keyed = rows.withColumn("k", F.coalesce("doc_id", F.lit(-1))).withColumn("none", F.col("doc_id").isNull())
-    base = keyed.groupBy("k", "none", "mark").agg(F.first("text").alias("text"))
-    wanted = pairs.select(F.coalesce("next.doc_id", F.lit(-1)).alias("k"), F.col("next.doc_id").isNull().alias("none"), F.col("next.mark").alias("mark"), F.col("doc_id").alias("for_id"), "need", "next")
-    heads = base.join(wanted, ["k", "none", "mark"]).select(F.coalesce("for_id", F.lit(-1)).alias("k"), F.col("for_id").isNull().alias("none"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "next")
+    # Dealt by id alone, so that texts move once: the joins below find them where they are.
+    base = keyed.repartition("k", "none").groupBy("k", "none", "mark").agg(F.first("text").alias("text"))
+    wanted = pairs.select(F.coalesce("next.doc_id", F.lit(-1)).alias("k"), F.col("next.doc_id").isNull().alias("none"), F.col("next.mark").alias("wanted"), F.col("doc_id").alias("for_id"), "need", "next")
+    heads = base.join(wanted, ["k", "none"]).filter(F.col("mark") == F.col("wanted")).select(F.coalesce("for_id", F.lit(-1)).alias("k"), F.col("for_id").isNull().alias("none"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "next")
     both = base.join(heads, ["k", "none"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
