@@ -218,13 +218,11 @@ def links(docs: DataFrame) -> DataFrame:
             pairs = pairs.join(done, ["ka", "na", "kb", "nb"], "left_anti")
         pairs = checkpointed(pairs)
         if pairs.isEmpty():
-            if found is None:
-                found = pairs
-            break
+            continue  # hubs may be too long for their lists or as before; only the last turn pairs all
         new = checkpointed(_verified(docs, pairs))
         done = pairs if done is None else done.unionByName(pairs)
         found = new if found is None else found.unionByName(new)
-    return found
+    return pairs if found is None else found
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

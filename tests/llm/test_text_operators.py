@@ -7,7 +7,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import jaccard, langid, mixing, packing, pii, quality, substrings, token_counts
 from tests.llm import brute
@@ -132,6 +134,25 @@ def test_components_of_many_near_copies(spark):
     assert sorted(map(tuple, got)) == sorted(brute.components(rows))
 
 
+def test_links_behind_a_long_hub(spark):
+    """A text that is too long for the others of its posting list is their hub in both hub turns."""
+    trios = {}
+    for i in range(400):
+        short = f"a{i} b{i} c{i} d{i} e{i}"
+        texts = [short + " " + " ".join(f"w{i}x{k}" for k in range(24)), short, short.upper()]
+        long, one = jaccard.shingle_sets(pa.array(texts[:2]))
+        if one[0] in long[: len(long) - -(-3 * len(long) // 4) + 1]:
+            trios[i] = texts
+    rows = [(i, k, t, 25 if k == 0 else 1) for i, texts in trios.items() for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "i long, k long, text string, n long").withColumn("key", F.xxhash64("text"))
+    for turn in range(jaccard.HUB_ROUNDS):
+        hubs = frame.groupBy("i").agg(F.min_by("k", F.xxhash64("key", "n", F.lit(turn))).alias("hub")).filter("hub = 0")
+        frame = frame.join(hubs.select("i"), "i", "left_semi")
+    texts = trios[frame.agg(F.min("i")).first()[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == [(0, 25, 0), (1, 1, 1), (2, 1, 1)]
+
+
 def test_repeats(docs):
     distinct = docs.dropDuplicates(["doc_id"])
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(distinct.repartition(3)).collect()}
