@@ -1,34 +1,36 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Linked documents start dealt evenly over the shards. In each
-round a document wishes to be where most of its group is; wishes are granted within the quota of free
-places that the shard has for linked documents, whole groups first, so no shard outgrows its share.
-A round is a handful of Spark joins and counts per (group, shard); links are never listed as pairs.
-At the end documents without links, which cost nothing wherever they are, fill up the shards.
+Documents with equal texts are linked. Linked documents start dealt by a hash over the shards. In each
+round every group that is not settled wishes to be where most of it is, among the shards that still
+have room for the whole of it; if it has no document in one of these, it wishes for another of them.
+Wishes are granted in full, larger groups first, while the shard has room. Only settled rows take
+room, so departures and swaps need no free places. Refused groups ask again, also elsewhere, and
+rounds go on until none is granted. Links are never listed as pairs.
 
-The law is ``rows``: counts of two shards are at most one apart, whatever the groups' sizes. A group
-that is larger than a shard is split over several.
+A group that is larger than a shard is split over several, before the rounds. After them a group that
+fits nowhere is split. Both kinds are fewer than the shards. At the end documents without links, which
+cost nothing wherever they are, fill up the shards.
+
+The law is ``rows``: counts of two shards are at most one apart, whatever the groups' sizes.
 
 Null texts are empty and equal to each other and to empty texts. Repeated rows are documents of their
-own. Other columns pass through unless one has the name of an added column. An empty table gives an
-empty result.
+own. Other columns pass through unless one has
+the name of an added column. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.ranking import offset_by_bucket
 from emberlog.session import checkpointed
 
 SHARDS = 24
-ROUNDS = 3
 BUCKETS = 1024
-GROUP_BUCKETS = 256  # wishes are granted by buckets of groups, and parts of a bucket
-PARTS = 64
+PARTS = 64  # hashed parts of the groups of about one size
 
 
 def _ranked(rows: DataFrame, within: list[str], name: str) -> DataFrame:
@@ -40,55 +42,91 @@ def _ranked(rows: DataFrame, within: list[str], name: str) -> DataFrame:
     return tagged.withColumn("_place", place).join(F.broadcast(offsets), [*within, "_bucket"]).withColumn(name, (F.col("bucket_offset") + F.col("_place") - 1).cast("long")).drop("_bucket", "_place", "bucket_offset")
 
 
-def _by_shard(values: list[int], shard: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), shard + 1)
-
-
-def _counts(rows: DataFrame, shards: int) -> list[int]:
-    """Rows per shard: ``shards`` numbers."""
-    found = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    return [found.get(s, 0) for s in range(shards)]
-
-
-def _round(linked: DataFrame, room: list[int]) -> DataFrame:
-    """Moves linked documents (rid, group, shard) to their group's shard within ``room`` free places a shard."""
-    held = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-    best = held.groupBy("group").agg(F.max(F.struct("n", F.xxhash64("group", "shard"), "shard"))["shard"].alias("best"))
-    bucket = F.pmod(F.xxhash64("group", F.lit(7)), F.lit(GROUP_BUCKETS)) * PARTS + F.pmod(F.xxhash64("rid"), F.lit(PARTS))
-    wishes = linked.join(best, "group").withColumn("bucket", bucket)
-    wish = F.col("best") != F.col("shard")
-    asked = wishes.filter(wish).groupBy("best", "bucket").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("best").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    granted = asked.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= _by_shard(room, F.col("best"))).select("best", "bucket", F.lit(True).alias("granted"))
-    # At most GROUP_BUCKETS x PARTS rows a shard.
-    moved = wishes.join(F.broadcast(granted), ["best", "bucket"], "left")
-    return moved.select("rid", "group", F.when(wish & F.col("granted"), F.col("best")).otherwise(F.col("shard")).cast("int").alias("shard"))
-
-
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _split(size: int, room: list[int]) -> list[tuple[int, int]]:
+    """(shard, rows) for a group that no shard can take: emptiest shards first, the rest where it fits best. Takes from ``room``."""
+    out = []
+    while size:
+        fits = [s for s, r in enumerate(room) if r >= size]
+        s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(len(room)), key=lambda s: (room[s], -s))
+        n = min(size, room[s])
+        out.append((s, n))
+        room[s] -= n
+        size -= n
+    return out
+
+
+def _wishes(groups: DataFrame, room: list[int]) -> DataFrame:
+    """Adds ``best`` to groups (group, n_same, held): the shard with room for all that holds most of it, or null."""
+    rooms = F.array(*[F.lit(r).cast("long") for r in room])
+    wish = F.transform(rooms, lambda r, s: F.when(r >= F.col("n_same"), F.struct(F.coalesce(F.element_at("held", s), F.lit(0)).alias("n"), F.xxhash64("group", s).alias("tie"), s.alias("shard"))))
+    return groups.withColumn("best", F.array_max(wish)["shard"])
+
+
+def _granted(groups: DataFrame, room: list[int]) -> DataFrame:
+    """Adds ``granted`` to groups with ``best``: larger ones first, as long as their sum is within the shard's room."""
+    part = F.pmod(F.xxhash64("group", F.lit(7)), F.lit(PARTS))
+    tagged = groups.withColumn("_bucket", ((64 - F.length(F.bin("n_same"))) * PARTS + part).cast("int"))
+    # At most 64 x PARTS rows a shard.
+    offsets = offset_by_bucket(tagged, "_bucket", F.col("n_same"), ["best"])
+    upto = Window.partitionBy("best", "_bucket").orderBy("group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = tagged.withColumn("_upto", F.sum("n_same").over(upto)).join(F.broadcast(offsets), ["best", "_bucket"])
+    within = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("best") + 1)
+    return summed.withColumn("granted", F.col("bucket_offset") + F.col("_upto") <= within).drop("_bucket", "_upto", "bucket_offset")
+
+
+def _propagated(groups: DataFrame, room: list[int]) -> tuple[DataFrame | None, DataFrame]:
+    """Settled groups (group, shard), and those that fit nowhere. Takes from ``room``."""
+    settled = None
+    while True:
+        asked = checkpointed(_granted(_wishes(groups, room).filter("best IS NOT NULL"), room))
+        taken = asked.filter("granted").groupBy("best").agg(F.sum("n_same").alias("n")).collect()
+        if not taken:
+            return settled, groups
+        for r in taken:
+            room[r["best"]] -= r["n"]
+        new = asked.filter("granted").select("group", F.col("best").cast("int").alias("shard"))
+        settled = new if settled is None else settled.unionByName(new)
+        nowhere = _wishes(groups, [r + sum(x["n"] for x in taken if x["best"] == s) for s, r in enumerate(room)]).filter("best IS NULL").drop("best")
+        groups = checkpointed(asked.filter("NOT granted").drop("best", "granted").unionByName(nowhere))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 8), text_crc32, n_same (documents of equal text), shard, slot (0, 1, ... in the shard)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key"))
     # Numbered once and written, so numbers hold when a task runs again.
-    base = checkpointed(narrow.withColumn("rid", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("key", "text_crc32", "size")))
-    several = base.groupBy("group").agg(F.count("*").alias("n_same"))
-    known = checkpointed(base.join(several, "group"))
-    total = known.count()
-    target = [total // shards + (s < total % shards) for s in range(shards)]
-
-    linked = _ranked(known.filter("n_same > 1").select("rid", "group"), [], "place") if total else known.select("rid", "group").withColumn("place", F.lit(0))
-    linked = checkpointed(linked.select("rid", "group", (F.col("place") % shards).cast("int").alias("shard")))
-    for _ in range(rounds):
-        held = _counts(linked, shards)
-        linked = checkpointed(_round(linked, [t - h for t, h in zip(target, held, strict=True)]))
-    held = _counts(linked, shards)
+    base = checkpointed(narrow.withColumn("rid", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("key", "text_crc32", "size")).drop("key"))
+    total = base.count()
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+
+    start = F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard")
+    held = base.groupBy("group", start).agg(F.count("*").alias("n"))
+    # At most one entry a shard in each group's map.
+    groups = checkpointed(held.groupBy("group").agg(F.sum("n").alias("n_same"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held")))
+    known = checkpointed(base.join(groups.select("group", "n_same"), "group"))
+
+    limit = total // shards
+    linked = groups.filter("n_same > 1")
+    parts = [(r["group"], _split(r["n_same"], room)) for r in linked.filter(F.col("n_same") > limit).select("group", "n_same").orderBy(F.desc("n_same"), "group").collect()]
+    settled, rest = _propagated(linked.filter(F.col("n_same") <= limit), room)
+    # The smallest of these is larger than any shard's room, and all rooms hold them all: fewer than the shards.
+    parts += [(r["group"], _split(r["n_same"], room)) for r in rest.select("group", "n_same").orderBy(F.desc("n_same"), "group").collect()]
+
+    labels = []
+    if settled is not None:
+        labels.append(known.filter((F.col("n_same") > 1) & (F.col("n_same") <= limit)).join(settled, "group").select("rid", "shard"))
+    if parts:
+        cuts = [(g, [s for s, _ in p], [sum(n for _, n in p[: i + 1]) for i in range(len(p))]) for g, p in parts]
+        cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "group long, shards array<int>, ends array<long>"))
+        spots = _ranked(known.filter("n_same > 1").select("rid", "group").join(cut, "group"), ["group"], "spot")
+        labels.append(spots.select("rid", F.get("shards", F.size(F.filter("ends", lambda e: e <= F.col("spot")))).alias("shard")))
 
     # Free documents by their place among them: shard s takes as many as it has places left.
-    ends = [sum(t - h for t, h in zip(target[: s + 1], held[: s + 1], strict=True)) for s in range(shards)]
+    ends = [sum(room[: s + 1]) for s in range(shards)]
     free = _ranked(known.filter("n_same = 1").select("rid"), [], "place")
     chosen = reduce(lambda rest, s: F.when(F.col("place") < ends[s], s).otherwise(rest), range(shards - 2, -1, -1), F.lit(shards - 1))
-    labels = linked.select("rid", "shard").unionByName(free.select("rid", chosen.cast("int").alias("shard")))
-    placed = checkpointed(known.drop("key", "group").join(labels, "rid"))
+    labels.append(free.select("rid", chosen.cast("int").alias("shard")))
+    placed = checkpointed(known.drop("group").join(reduce(DataFrame.unionByName, labels), "rid"))
     return _ranked(placed, ["shard"], "slot").select("doc_id", "size", "text_crc32", "n_same", "shard", "slot")
 
 

@@ -71,6 +71,18 @@ def test_sharding_keeps_groups_together(spark):
     assert sum(len(x) == 1 for t, x in at.items() if t.startswith("text")) >= 95
 
 
+def test_sharding_without_free_rows(spark):
+    """Every text has a copy, and two groups are larger than a shard: nothing but these and a few others is split."""
+    texts = [f"text {i // 3}" for i in range(1200)] + [f"pair {i // 2}" for i in range(600)] + ["hot"] * 900 + ["warm"] * 300
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    at, sizes = defaultdict(set), Counter(r["shard"] for r in got)
+    for r in got:
+        at[texts[r["doc_id"]]].add(r["shard"])
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 24
+    assert sum(len(x) > 1 for t, x in at.items() if t not in ("hot", "warm")) < 24
+    assert len(at["hot"]) <= 9 and len(at["warm"]) <= 4
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert fingerprints.robustness(none).count() == 0
