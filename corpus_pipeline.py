@@ -39,8 +39,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of documents in training sequences, packed in the mixed order: reading files does not keep it."""
+    return packing.pack(mixing.in_mixed_order(docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

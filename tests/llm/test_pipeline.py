@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from emberlog.llm import mixing
 from tests.llm import brute
 
 
@@ -41,5 +42,27 @@ def test_pipeline(spark, sf_dir):
     assert all(sum(r["length"] for r in parts) == parts[0]["doc_tokens"] for parts in done.values())
 
 
+def test_sequences_follow_the_mixed_order_over_several_files(spark, sf_dir, tmp_path):
+    """Of two tasks that pack, the one with smaller sequence ids has the earlier documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").dropDuplicates(["doc_id"])
+    place = {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs).select("doc_id", "mix_position").collect()}
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.source_mix(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mixed")
+        rows = corpus_pipeline.sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tasks: dict[int, list] = {}
+    for r in rows:
+        tasks.setdefault(r["sequence_id"] >> 36, []).append(place[r["doc_id"]])
+    order = [sorted(tasks[t]) for t in sorted(tasks)]
+    assert len(order) > 1
+    assert all(a[-1] < b[0] for a, b in zip(order, order[1:], strict=False))
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
