@@ -1,7 +1,9 @@
 """Personal data: candidate spans and boosted trees that select among them.
 
 Patterns propose spans in high recall, which may overlap. Spans of the base kinds whose format holds
-(parts of an address, Luhn sum, number of digits) are always taken. The others are scored by boosted
+(parts of an address, Luhn sum, number of digits) are always taken. So are card numbers of usual grouping inside a longer run of digits that is no card
+itself. The others, among them other groups of digits and parts of dotted runs that have the format of
+a card or an address, are scored by boosted
 regression trees over a few coarse features of format and context, and taken above a threshold that
 is calibrated for precision.
 
@@ -44,6 +46,14 @@ MORE_PATTERNS = {
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?[A-Za-z0-9-]{{1,63}}\x20?[\[(]?\x20?\bdot\b\x20?[\])]?\x20?[A-Za-z]{{2,24}}\b",
     "phone": r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
+# Runs of groups of digits, in which shorter spans of whole groups are candidates.
+RUN_PATTERNS = {
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){4,}+",
+    "card": r"[0-9](?:[\x20-]?[0-9]){14,}+",
+}
+_TOKENS = {"ip": r"[0-9]+\.?", "card": r"[0-9]+[\x20-]?"}
+# Card numbers as they are printed: in one group, in fours, or as 4-6-4 and 4-6-5.
+USUAL_CARD = r"^(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})$"
 CONTEXT = 24
 CUES = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|card|visa|iban|account|ip|host|server|address|write)\b"
 VECTORS = 4096
@@ -105,18 +115,53 @@ def _plausible(kind: str, base: bool):
     return (lambda m: (F.char_length(m) >= 12) & (F.char_length(m) <= 43)) if kind == "card" and base else lambda m: F.lit(True)
 
 
-def candidates(text: Column) -> Column:
+def _inner(run: Column, kind: str) -> Column:
+    """The spans of whole groups in a run that have the kind's format and are shorter than it: ``_SPAN``."""
+
+    def build(tokens: Column, stops: Column) -> Column:
+        n = F.size(tokens)
+        most = 4 if kind == "ip" else 19  # groups
+        begin = lambda i: F.when(i == 0, 0).otherwise(F.get(stops, i - 1))
+        end = lambda j: F.get(stops, j) - F.when(j == n - 1, 0).otherwise(1)
+        digits = lambda i, j: end(j) - begin(i) - (j - i)
+        # Not slice, which copies the whole array.
+        joined = lambda i, size: F.when(size == 0, "").otherwise(F.array_join(F.transform(F.sequence(i, i + size - 1), lambda k: F.get(tokens, k)), ""))
+
+        def one(i: Column, j: Column) -> Column:
+            near = F.least(i, F.lit(CONTEXT))
+            before = F.concat(F.when(near == i, run["before"]).otherwise(""), joined(i - near, near))
+            fields = {"start": run["start"] + begin(i), "stop": run["start"] + end(j), "value": F.left(joined(i, j - i + 1), end(j) - begin(i)), "before": F.right(before, F.lit(CONTEXT)), "after": F.when(j == n - 1, run["after"]).otherwise(F.right(F.get(tokens, j), F.lit(1)))}
+            return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+        def fits(i: Column, j: Column) -> Column:
+            return j - i == 3 if kind == "ip" else (digits(i, j) >= 14) & (digits(i, j) <= 19) & (j - i < n - 1)
+
+        ends = lambda i: F.filter(F.sequence(i, F.least(i + (most - 1), n - 1)), lambda j: fits(i, j))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(F.transform(ends(i), lambda j: one(i, j)), lambda s: valid(kind, s["value"]))))
+
+    tokens = F.regexp_extract_all(run["value"], F.lit(_TOKENS[kind]), F.lit(0))
+    return let(tokens, lambda t: let(running_sums(F.transform(t, lambda x: F.char_length(x))), lambda stops: build(t, stops)))
+
+
+def _inside(text: Column, kind: str) -> Column:
+    """All spans of ``_inner``; a run that is a card itself has none."""
+    failed = (lambda m: ~valid("card", m)) if kind == "card" else lambda m: F.lit(True)
+    return F.flatten(F.transform(_spans(text, RUN_PATTERNS[kind], _NEEDS[kind], failed), lambda run: _inner(run, kind)))
+
+
+def candidates(text: Column, base_only: bool = False) -> Column:
     """All proposed spans: array<struct<start, rank, stop, kind, base, confirmed, value, before, after>>, kinds in order."""
     def tagged(kind: str, base: bool):
         def one(s: Column) -> Column:
-            confirmed = valid(kind, s["value"]) if base else F.lit(False)
+            confirmed = valid(kind, s["value"]) if base else s["value"].rlike(USUAL_CARD) if kind == "card" else F.lit(False)
             fields = {"start": s["start"], "rank": F.lit(KINDS.index(kind)), "stop": s["stop"], "kind": F.lit(kind), "base": F.lit(base), "confirmed": confirmed, "value": s["value"], "before": s["before"], "after": s["after"]}
             return F.struct(*[c.alias(name) for name, c in fields.items()])
 
         return one
 
-    sets = ((BASE_PATTERNS, True), (MORE_PATTERNS, False))
-    return F.concat(*[F.transform(_spans(text, patterns[kind], _NEEDS[kind] if base else None, _plausible(kind, base)), tagged(kind, base)) for kind in KINDS for patterns, base in sets if kind in patterns])
+    sets = ((BASE_PATTERNS, True),) if base_only else ((BASE_PATTERNS, True), (MORE_PATTERNS, False))
+    found = [F.transform(_spans(text, patterns[kind], _NEEDS[kind] if base else None, _plausible(kind, base)), tagged(kind, base)) for kind in KINDS for patterns, base in sets if kind in patterns]
+    return F.concat(*found, *[F.transform(_inside(text, kind), tagged(kind, False)) for kind in RUN_PATTERNS if not base_only])
 
 
 # Features by name: whole numbers of few values over a candidate and the text around it.
@@ -199,7 +244,7 @@ def train(docs: DataFrame) -> tuple[list[Tree], float]:
     """Boosted trees from the base candidates of all documents, confirmed or refuted by their format."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     vector = lambda c: F.struct(_features(c).alias("f"), c["confirmed"].alias("ok"))
-    found = let(text, lambda t: F.transform(F.filter(candidates(t), lambda c: c["base"]), vector))
+    found = let(text, lambda t: F.transform(candidates(t, base_only=True), vector))
     each = docs.select(F.explode(found).alias("c")).select("c.f", "c.ok")
     vectors = each.groupBy("f").agg(F.count_if("ok").alias("positive"), F.count_if(~F.col("ok")).alias("negative"))
     rows = vectors.select("f.*", "positive", "negative").orderBy(F.desc(F.col("positive") + F.col("negative")), *FEATURES).limit(VECTORS).collect()
@@ -207,7 +252,7 @@ def train(docs: DataFrame) -> tuple[list[Tree], float]:
 
 
 def _selected(found: Column, model: tuple[list[Tree], float]) -> Column:
-    """Confirmed base spans, and further ones whose score reaches the threshold; by start, then kind."""
+    """Confirmed spans, and further ones that are not of the base whose score reaches the threshold; by start, then kind."""
     trees, threshold = model
 
     def scored(s: Column) -> Column:
@@ -215,7 +260,7 @@ def _selected(found: Column, model: tuple[list[Tree], float]) -> Column:
             return F.lit(False)
         return let(_features(s), lambda x: sum((t.column(x) for t in trees), F.lit(0.0)) >= threshold)
 
-    return F.sort_array(F.filter(found, lambda s: F.when(s["base"], s["confirmed"]).otherwise(scored(s))))
+    return F.sort_array(F.filter(found, lambda s: s["confirmed"] | F.when(s["base"], False).otherwise(scored(s))))
 
 
 def _join(spans: Column) -> Column:

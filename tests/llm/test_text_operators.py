@@ -54,6 +54,20 @@ def test_redaction_leaves_no_base_span(docs):
         assert r["text"] is None or not [x for x in brute.personal(r["text"]) if x[2] != "card"]
 
 
+def test_cards_and_addresses_inside_longer_runs(spark):
+    a, b = "4012888888881881", "4111 1111 1111 1111"
+    rows = [(1, f"pay {a} {a}"), (2, f"pay {b} 10.0.0.25"), (3, f"7 {b} 123 x"), (4, f"{a} " + "12 " * 300 + b), (5, "at 300.10.0.0.25 now"), (6, "1 " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    never = pii.train(docs)[0], float("inf")
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(docs, never).collect()}
+    assert all(a not in texts[i] and b not in texts[i] for i in (1, 2, 3, 4))
+    assert texts[1] == "pay [CARD] [CARD]" and texts[3] == "7 [CARD] 123 x"
+    assert not [x for i in (1, 2, 3) for x in brute.personal(texts[i]) if x[2] == "card"]
+    all_ = [pii.Tree(("kind", 0), ("kind", 0, 1.0, 1.0), ("kind", 0, 1.0, 1.0))], 0.5
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.find(docs, all_).collect()}
+    assert "ip:7:16" in spans[5] and {"card:4:20", "card:21:37"} <= set(spans[1])
+
+
 def test_boosting_separates():
     base = dict.fromkeys(pii.FEATURES, 0)
     rows = [base | {"digits": d, "cue": c, "positive": 10 * (d > 5) + 1, "negative": 10 * (d <= 5)} for d in range(9) for c in (0, 1)]
