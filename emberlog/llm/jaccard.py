@@ -5,23 +5,30 @@ joined. Let o(n) = ceil(3n / 4): two linked sets of at most n shingles share at
 order of all shingles (here: of their hashes), the first n - o(n) + k shingles of each of two linked
 sets then share at least k.
 
-1. Every class writes the prefix for k = ``matches``(n), one posting per shingle.
-2. One shuffle by shingle counts postings. Shingles in a single class are gone.
-3. A class with fewer than k posted shingles has no link and leaves. One whose first n - o(n) + 1
-   shingles meet few others (``COST``) is indexed by these. The others take the longer prefix and must
-   share more: of any k shared shingles the rarest one is not among the k - 1 most frequent of either
-   class, so these leave the index.
-4. In each posting list every class is paired with one hub; verified links join components. Later
-   rounds pair only classes of one list that are still in different components, first with another
-   hub, at last all of them. Pairs inside a component change nothing, so groups of copies never
-   expand into all pairs.
-5. Verification intersects the whole sets, gathered for the candidates only. A bit array of fixed
-   size tells the scan which texts may be candidates; it only saves work.
+1. A scan writes for every class the longest prefix that it may need (``_longest``), and one shuffle by
+   shingle counts postings. A shingle that more than ``FREQUENT`` classes hold is frequent: it costs too
+   many candidates and is not indexed. A task that meets such a shingle often enough says so once and
+   sends no postings of it, so no list in the shuffle grows with a common passage.
+2. Every class lengthens its prefix by its cost: with c frequent shingles in it, k is c + 1, so that of
+   any k shared shingles one is infrequent and is in both classes' lists. A class that would lengthen
+   it by more than 1 / ``LONGER`` of its set is long.
+3. Lists, of at most ``FREQUENT`` classes, give pairs with the number of shared postings. For two sets of
+   a and b shingles, linked ones share at least ceil(3 (a + b) / 7), of which at most a - p lie behind
+   a's prefix of p; with frequent ones taken off, this many shared postings are required before
+   verification.
+4. Long classes meet each other over whole sets, in order of frequency among them: the n - o(n) + 1
+   rarest shingles are indexed. Pairs inside a component change nothing, so each list is joined by hubs
+   from outside its largest component until no two components of a list are left; a turn writes at
+   most ``HUBS`` pairs for a posting, and groups of copies never expand into all pairs.
+5. Verification intersects whole sets, gathered for the classes with candidates only: first a star per
+   class, then the candidates that are still in different components.
 
 Only shuffle keys are hashes of texts: a class is identified by the 64-bit hash of its text and its
 number of shingles. Null texts and texts without words have an empty set and no link. Repeated rows
 and equal ids are documents of their own, with the smallest id of the component. A null id stays
 null as its own component unless it is linked. Other columns do not pass through.
+
+Tables between the steps stay in the shared checkpoint folder, as the result reads them.
 """
 
 from __future__ import annotations
@@ -37,13 +44,16 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.graph import connected_components
 from emberlog.llm.pieces import runs
-from emberlog.session import checkpointed
+from emberlog.session import checkpointed, discard, stored
 
 SHINGLE = 5
-# A class keeps k = 1 while the other postings of its short prefix are at most so many.
-COST = 64
-BITS = 1 << 23
-HUB_ROUNDS = 2
+FREQUENT = 16
+LONGER = 20
+HUBS = 64
+#: Bits of the array that tells a scan which texts may be candidates: 16 a class, at most so many. Beyond, more texts pass and the join decides.
+MOST_BITS = 1 << 27
+#: Rows that are broadcast at most when documents are dropped; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -52,13 +62,18 @@ def needed(n: Column) -> Column:
     return F.ceil(n * 3 / 4)
 
 
-def matches(n: Column) -> Column:
-    """k of the longer prefix: a tenth of the set."""
-    return F.greatest(F.floor(n / 10), F.lit(1))
+def most_matches(n: Column) -> Column:
+    """The largest k of a class that is not long."""
+    return F.greatest(F.floor(n / LONGER), F.lit(1))
+
+
+def _longest(n: int) -> int:
+    """Length of the prefix that suffices for the largest k of any partner, of up to 4n / 3 shingles."""
+    return n - -(-3 * n // 4) + max(4 * n // 3 // LONGER, 1)
 
 
-def _prefix(n: int) -> int:
-    return n - -(-3 * n // 4) + max(n // 10, 1)
+def longest(n: Column) -> Column:
+    return n - needed(n) + F.greatest(F.floor(F.floor(n * 4 / 3) / LONGER), F.lit(1))
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -68,7 +83,7 @@ def _finish(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; a text of fewer than k words is one shingle."""
+    """Sorted distinct shingle hashes of each text, of 63 bits; a text of fewer than k words is one shingle."""
     flat = pc.ascii_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[\x09-\x0D ]+", " "))
     lists = pc.split_pattern(pc.utf8_trim(flat, " "), " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -83,16 +98,17 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         for i in range(k):
             rows = _finish(rows * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(rows)] + np.uint64(i))
+        rows = (rows >> np.uint64(1)).view(np.int64)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             if b - a >= k:
                 yield np.unique(rows[a : b - k + 1])
             elif b == a or b - a == 1 and codes[a] == empty:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros(0, np.int64)
             else:
                 x = np.uint64(b - a)
                 for w in h[a:b]:
                     x = _finish(x * np.uint64(0x9E3779B97F4A7C15) + w)
-                yield np.array([x])
+                yield np.array([x >> np.uint64(1)], np.uint64).view(np.int64)
 
 
 def _ids(docs: DataFrame) -> DataFrame:
@@ -100,150 +116,265 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len(s) for part in runs(b.column("text")) for s in shingle_sets(part)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(n, pa.int64())], ["doc_id", "key", "n"])
-
-
 def _new_keys(keys: list[int], seen: set[int]) -> np.ndarray:
     """Which keys a task meets for the first time."""
     return np.array([k not in seen and not seen.add(k) for k in keys], dtype=bool)
 
 
 def _lists(sets: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
-def _set_rows(prefix: bool, bits: np.ndarray | None):
-    """Rows key, n, tokens (the prefix or the whole set) of each text that is new to the task."""
+def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key, n of every text. The first one of a class in the task has its prefix, with -1 - token for what is frequent in the run of texts; ``told`` has each such token once."""
+    seen: set[int] = set()
+    for b in batches:
+        new = _new_keys(b.column("key").to_pylist(), seen)
+        begin = 0
+        for part in runs(b.column("text")):
+            sets = list(shingle_sets(part))
+            heads = [s[: _longest(len(s))] if own else s[:0] for s, own in zip(sets, new[begin : begin + len(part)].tolist(), strict=True)]
+            lists = _lists(heads)
+            flat = lists.values.to_numpy()
+            names, first, place, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+            often = count > FREQUENT
+            tokens = np.where(often[place], -1 - flat, flat)
+            order = np.argsort(first[often])
+            told_at = np.searchsorted(first[often][order], lists.offsets.to_numpy(), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id").slice(begin, len(part)),
+                    b.column("key").slice(begin, len(part)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.ListArray.from_arrays(lists.offsets, pa.array(tokens)),
+                    pa.ListArray.from_arrays(pa.array(told_at), pa.array(names[often][order])),
+                ],
+                ["doc_id", "key", "n", "tokens", "told"],
+            )
+            begin += len(part)
+
+
+def _set_rows(bits: np.ndarray):
+    """Rows key, n, tokens (the whole set) of each text that is new to the task and may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             keys = b.column("key").to_numpy()
-            keep = _new_keys(keys.tolist(), seen)
-            if bits is not None:
-                slot = keys.view(np.uint64) % np.uint64(BITS)
-                keep &= (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            slot = keys.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+            keep = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            keep[keep] = _new_keys(keys[keep].tolist(), seen)
             b = b.filter(pa.array(keep))
             begin = 0
             for part in runs(b.column("text")):
                 sets = list(shingle_sets(part))
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("key").slice(begin, len(part)), n, _lists([s[: _prefix(len(s))] for s in sets] if prefix else sets)], ["key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(begin, len(part)), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["key", "n", "tokens"])
                 begin += len(part)
 
     return run
 
 
-def index(docs: DataFrame) -> DataFrame:
-    """Postings that may meet: level (1 or 2), token, key, n."""
-    rows = _ids(docs).filter(F.col("text").isNotNull()).select("key", "text").mapInArrow(_set_rows(True, None), "key long, n long, tokens array<long>")
-    postings = rows.select("key", "n", F.posexplode("tokens").alias("at", "token"))
-    # The same text from several tasks counts once: the first posting of a (token, key) stays.
-    order = Window.partitionBy("token").orderBy("key", "n")
-    fresh = ~(F.lag("key").over(order).eqNullSafe(F.col("key")) & F.lag("n").over(order).eqNullSafe(F.col("n")))
-    counted = postings.withColumn("fresh", fresh).withColumn("df", F.count_if("fresh").over(Window.partitionBy("token")))
-    active = checkpointed(counted.filter("fresh AND df > 1").select("key", "n", "at", "token", "df"))
+def _active(rows: DataFrame) -> DataFrame:
+    """Postings that may meet others: token, rid, pos (in the set), frequent."""
+    own = rows.select(F.posexplode("tokens").alias("pos", "token"), "rid").filter("token >= 0").select("token", "rid", "pos")
+    told = rows.select(F.explode("told").alias("token"), F.lit(-1).cast("long").alias("rid"), F.lit(-1).alias("pos"))
+    # A list holds at most FREQUENT postings from a run of texts.
+    same = Window.partitionBy("token")
+    counted = own.unionByName(told).withColumn("df", F.count("*").over(same)).withColumn("told", F.min("pos").over(same) < 0)
+    return counted.filter("rid >= 0 AND (df > 1 OR told)").select("token", "rid", "pos", (F.col("told") | (F.col("df") > FREQUENT)).alias("frequent"))
 
-    base = F.col("at") < F.col("n") - needed(F.col("n")) + 1
-    own = Window.partitionBy("key", "n")
-    ranked = active.withColumn("base", base).withColumn("cost", F.sum(F.when(F.col("base"), F.col("df") - 1).otherwise(0)).over(own))
-    ranked = ranked.filter(F.col("cost") > 0).withColumn("met", F.count("*").over(own)).withColumn("heat", F.row_number().over(own.orderBy(F.desc("df"), "token")))
-    # Any partner has at least 3n/4 shingles, so at least this many are shared in both longer prefixes.
-    sure = matches(needed(F.col("n")))
-    ranked = ranked.filter(F.col("met") >= sure)
-    long = F.col("cost") > COST
-    one = ranked.filter(F.col("base") & (F.col("df") <= COST + 1)).select(F.lit(1).alias("level"), "token", "key", "n")
-    two = ranked.filter(long & (F.col("heat") >= sure)).select(F.lit(2).alias("level"), "token", "key", "n")
-    return one.unionByName(two)
-
-
-def _bits(keys: DataFrame) -> np.ndarray:
-    """One bit per hash slot that a candidate has; its size is fixed."""
-    # BITS is a power of two, so this is also the unsigned key's remainder.
-    slots = keys.select(F.pmod(F.col("key"), F.lit(BITS)).alias("slot"))
-    words = slots.groupBy(F.expr("cast(slot div 32 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits")).collect()
-    out = np.zeros(BITS // 32, np.uint32)
-    for r in words:
-        out[r["word"]] = r["bits"]
+
+def _classes(rows: DataFrame, active: DataFrame) -> DataFrame:
+    """rid, key, n, p (length of the prefix), c (frequent shingles in it), long; rid is one row of the class."""
+    own = F.filter(F.transform("tokens", lambda t, i: F.when(t < 0, i)), lambda i: i.isNotNull())
+    first = rows.filter(F.size("tokens") > 0).select("key", "n", F.struct("rid", own.alias("often")).alias("row"))
+    one = first.groupBy("key", "n").agg(F.min_by("row", "row.rid").alias("row")).select("key", "n", "row.*")
+    met = active.filter("frequent").groupBy("rid").agg(F.collect_list("pos").alias("met"))  # within one prefix
+    places = F.array_sort(F.concat("often", F.coalesce("met", F.array().cast("array<int>"))))
+    spare = F.col("n") - needed(F.col("n"))
+    # A frequent shingle is in the prefix if at most n - o(n) infrequent ones come before it.
+    known = one.join(met, "rid", "left").withColumn("places", places).withColumn("c", F.size(F.filter("places", lambda x, i: x - i <= spare)))
+    long = F.col("c") + 1 > most_matches(F.col("n"))
+    return known.select("rid", "key", "n", F.when(long, longest(F.col("n"))).otherwise(spare + F.col("c") + 1).cast("long").alias("p"), F.when(long, F.size("places")).otherwise(F.col("c")).alias("c"), long.alias("long"))
+
+
+def _sized(a: Column, b: Column) -> Column:
+    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+
+
+def _ordered(ka: str, na: str, kb: str, nb: str) -> Column:
+    return (F.col(ka) < F.col(kb)) | ((F.col(ka) == F.col(kb)) & (F.col(na) < F.col(nb)))
+
+
+def _candidates(active: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ka, na, kb, nb, not both long, that share enough postings."""
+    index = active.filter("NOT frequent").join(classes, "rid").filter("pos < p")
+    side = lambda s: index.select("token", *[F.col(c).alias(f"{c[0]}{s}") for c in ("key", "n", "p", "c", "long")])
+    met = side("a").join(side("b"), "token").filter(_ordered("ka", "na", "kb", "nb") & _sized(F.col("na"), F.col("nb")) & ~(F.col("la") & F.col("lb")))
+    names = ["ka", "na", "kb", "nb"]
+    counted = met.groupBy(*names).agg(F.count("*").alias("shared"), *[F.first(x).alias(x) for x in ("pa", "pb", "ca", "cb")])
+    least = F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
+    known = F.least(least - F.col("na") + F.col("pa"), least - F.col("nb") + F.col("pb")) - F.least("ca", "cb")
+    return counted.filter(F.col("shared") >= known).select(*names)
+
+
+def _bits(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit array with the bits of ``n`` keys set."""
+    size = min(max(1 << 16, 1 << (16 * n).bit_length()), MOST_BITS)
+    slots = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("slot"))
+    words = slots.groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (ka, na, kb, nb) whose whole sets are linked."""
-    ends = pairs.select(F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(pairs.select(F.col("kb").alias("key"), F.col("nb").alias("n"))).distinct()
-    rows = _ids(docs).filter(F.col("text").isNotNull()).select("key", "text").mapInArrow(_set_rows(False, _bits(ends)), "key long, n long, tokens array<long>")
-    sets = checkpointed(rows.join(ends, ["key", "n"], "left_semi").dropDuplicates(["key", "n"]))
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n, tokens of the classes in ``wanted`` (key, n)."""
+    wanted = checkpointed(wanted.distinct())
+    rows = _ids(docs).filter(F.col("text").isNotNull()).select("key", "text").mapInArrow(_set_rows(_bits(wanted, wanted.count())), "key long, n long, tokens array<long>")
+    return stored(rows.join(wanted, ["key", "n"], "left_semi").dropDuplicates(["key", "n"]), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are linked."""
     left = sets.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, ["ka", "na"]).join(right, ["kb", "nb"])
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("ka", "na", "kb", "nb")
+    return checkpointed(both.filter(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("ka", "na", "kb", "nb"))
 
 
-def _sized(a: Column, b: Column) -> Column:
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.xxhash64("ka", "na").alias("u"), F.xxhash64("kb", "nb").alias("v")))
+
+
+def _labelled(df: DataFrame, parts: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """Adds the component of (key, n) as ``name``."""
+    own = parts.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
+    return df.withColumn("_node", F.xxhash64(key, n)).join(own, "_node", "left").withColumn(name, F.coalesce("_part", "_node")).drop("_node", "_part")
+
 
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Of each class the pair with its partner of the smallest hash."""
+    back = pairs.select(F.col("kb").alias("ka"), F.col("nb").alias("na"), F.col("ka").alias("kb"), F.col("na").alias("nb"))
+    picked = pairs.unionByName(back).groupBy("ka", "na").agg(F.min_by(F.struct("kb", "nb"), F.xxhash64("kb", "nb")).alias("o")).select("ka", "na", "o.kb", "o.nb")
+    return _oriented(picked)
 
-def links(docs: DataFrame) -> DataFrame:
+
+def _oriented(pairs: DataFrame) -> DataFrame:
+    first = _ordered("ka", "na", "kb", "nb")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return pairs.select(pick("ka", "kb", "ka"), pick("na", "nb", "na"), pick("kb", "ka", "kb"), pick("nb", "na", "nb")).distinct()
+
+
+def _long_postings(sets: DataFrame) -> DataFrame:
+    """token, key, n: the rarest shingles of each set that other sets hold, rarest first n - o(n) + 1."""
+    each = sets.select("key", "n", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("key", "n")
+    ranked = each.join(shared, "token").withColumn("met", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
+    # Those in no other set are rarest of all.
+    return ranked.filter(F.col("rank") <= F.col("met") - needed(F.col("n")) + 1).select("token", "key", "n")
+
+
+def _long_links(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` and those among long classes that connect their components."""
+    postings = stored(_long_postings(sets).withColumn("was", F.lit(False)), "postings")
+    turn = 0
+    while not postings.isEmpty():
+        placed = _labelled(postings, _components(links), "key", "n", "component").withColumn("mark", F.pmod(F.xxhash64("key", "n", F.lit(turn)), F.lit(1 << 30)))
+        free = F.when(~F.col("was"), F.col("mark"))
+        parts = placed.groupBy("token", "component").agg(F.count("*").alias("size"), F.count(free).alias("free"), F.min(free).alias("first"))
+        largest = F.struct("size", "component")
+        per_list = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", largest).alias("main"), (F.sum("free") - F.max_by("free", largest)).alias("waiting"), F.min("first").alias("first"))
+        mixed = checkpointed(per_list.filter("parts > 1 AND waiting > 0").select("token", "main", "waiting", "first"))
+        # The first turns take one hub a list; later all members outside the largest component wait to be one.
+        hub = F.col("mark") == F.col("first") if turn < 2 else (F.col("component") != F.col("main")) & (F.col("mark") * F.col("waiting") <= HUBS << 30)
+        open_ = stored(placed.join(mixed, "token").withColumn("hub", ~F.col("was") & hub).select("token", "key", "n", "component", "was", "hub"), "turn")
+        hubs = open_.filter("hub").select("token", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("other"))
+        met = open_.join(hubs, "token").filter((F.col("component") != F.col("other")) & _sized(F.col("n"), F.col("nb")))
+        pairs = checkpointed(_oriented(met.select(F.col("key").alias("ka"), F.col("n").alias("na"), "kb", "nb")))
+        if not pairs.isEmpty():
+            links = links.unionByName(_linked(pairs, sets))
+        discard(postings)
+        postings = stored(open_.select("token", "key", "n", (F.col("was") | F.col("hub")).alias("was")), "postings")
+        discard(open_)
+        turn += 1
+    discard(postings)
+    return links
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """The first scan: doc_id, key, n, tokens, told (see ``_prefix_rows``), rid."""
+    rows = _ids(docs).mapInArrow(_prefix_rows, "doc_id long, key long, n long, tokens array<long>, told array<long>")
+    return stored(rows.withColumn("rid", F.monotonically_increasing_id()), "prefixes")
+
+
+def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Verified links between classes, enough to connect every component: ka, na, kb, nb."""
-    postings = checkpointed(index(docs))
-    done = None
-    found = None
-    for turn in range(HUB_ROUNDS + 1):
-        if found is None:
-            labelled = postings.withColumn("component", F.xxhash64("key", "n"))
-        else:
-            nodes = found.select(F.xxhash64("ka", "na").alias("u"), F.xxhash64("kb", "nb").alias("v"))
-            parts = connected_components(nodes)
-            labelled = postings.withColumn("node", F.xxhash64("key", "n")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
-            mixed = labelled.groupBy("level", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("level", "token")
-            labelled = labelled.join(mixed, ["level", "token"], "left_semi")
-        if turn < HUB_ROUNDS:
-            hub = F.min_by(F.struct("key", "n", "component"), F.xxhash64("key", "n", F.lit(turn)))
-            hubs = labelled.groupBy("level", "token").agg(hub.alias("hub"))
-            met = labelled.join(hubs, ["level", "token"]).select(F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("hub.key").alias("k2"), F.col("hub.n").alias("n2"), F.col("hub.component").alias("c2"))
-        else:
-            a = labelled.select("level", "token", F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-            b = labelled.select("level", "token", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-            met = a.join(b, ["level", "token"]).filter("c1 < c2")
-        near = met.filter((F.col("c1") != F.col("c2")) & _sized(F.col("n1"), F.col("n2")))
-        first = (F.col("k1") < F.col("k2")) | ((F.col("k1") == F.col("k2")) & (F.col("n1") < F.col("n2")))
-        pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-        pairs = near.select(pick("k1", "k2", "ka"), pick("n1", "n2", "na"), pick("k2", "k1", "kb"), pick("n2", "n1", "nb")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["ka", "na", "kb", "nb"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            continue  # hubs may be too long for their lists or as before; only the last turn pairs all
-        new = checkpointed(_verified(docs, pairs))
-        done = pairs if done is None else done.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-    return pairs if found is None else found
+    active = stored(_active(rows), "active")
+    classes = stored(_classes(rows, active), "classes")
+    pairs = stored(_candidates(active, classes), "pairs")
+    discard(active)
+    long = classes.filter("long").select("key", "n")
+    ends = pairs.select(F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(pairs.select(F.col("kb").alias("key"), F.col("nb").alias("n")))
+    sets = _sets(docs, ends.unionByName(long))
+    first = checkpointed(_stars(pairs))
+    found = _linked(first, sets)
+    found = _long_links(sets.join(long, ["key", "n"], "left_semi"), found)
+    rest = pairs.join(first, ["ka", "na", "kb", "nb"], "left_anti")
+    parts = checkpointed(_components(found))
+    rest = _labelled(_labelled(rest, parts, "ka", "na", "u"), parts, "kb", "nb", "v").filter("u <> v").select("ka", "na", "kb", "nb")
+    return found.unionByName(_linked(rest, sets))
+
+
+def _membership(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, component (its name; null without words), component_id of every row."""
+    rows = prefixes(docs)
+    counted = stored(rows.select("doc_id", "key", "n"), "counted")
+    pairs = links(docs, rows)
+    discard(rows)
+    full = counted.filter("n > 0")
+    classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
+    named = stored(_labelled(classes, _components(pairs), "key", "n", "component"), "named")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    resolved = named.join(lowest, "component").select("key", "n", "component", "component_id")
+    joined = full.join(resolved, ["key", "n"]).select("doc_id", "key", "n", "component", "component_id")
+    return joined.unionByName(counted.filter("n = 0").select("doc_id", "key", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    counted = checkpointed(_ids(docs).mapInArrow(_count_rows, "doc_id long, key long, n long"))
-    full = counted.filter("n > 0")
-    classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
-    node = F.xxhash64("key", "n")
-    pairs = links(docs)
-    parts = connected_components(pairs.select(F.xxhash64("ka", "na").alias("u"), F.xxhash64("kb", "nb").alias("v")))
-    named = classes.withColumn("node", node).join(parts, "node", "left")
-    lowest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("low"))
-    resolved = named.join(lowest, "component", "left").select("key", "n", F.coalesce("low", "rep").alias("component_id"))
-    joined = full.join(resolved, ["key", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(counted.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return _membership(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's smallest; rows that repeat an id stay together, null ids stay."""
-    gone = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, with its own columns: of the smallest id (null ids last), of several of that id the one whose text has the smallest hash, of equal rows any one.
+
+    Every row is judged by itself, so unlike texts of one id each have their own component. Documents
+    without words are linked with nothing and stay, repeated rows among them too.
+    """
+    members = stored(_membership(docs).filter("component IS NOT NULL").groupBy("component", "doc_id", "key").agg(F.count("*").alias("rows")), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = members.groupBy("component").agg(F.min(order).alias("best"))
+    judged = members.join(best, "component").select("doc_id", "key", "rows", F.col("best").eqNullSafe(order).alias("kept"))
+    judged = stored(judged.filter("NOT kept OR rows > 1"), "judged")
+    own = "_key"
+    while own in docs.columns:
+        own += "_"
+    keyed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+
+    def joined(rows: DataFrame, to: DataFrame, how: str) -> DataFrame:
+        to = to.select(F.col("doc_id").alias("_id"), F.col("key").alias("_mark"))
+        if to.count() <= BROADCAST_ROWS:
+            to = F.broadcast(to)
+        return rows.join(to, rows["doc_id"].cast("long").eqNullSafe(to["_id"]) & (rows[own] == to["_mark"]), how)
+
+    out = joined(keyed, judged.filter("NOT kept"), "left_anti")
+    repeated = judged.filter("kept")
+    if not repeated.isEmpty():
+        out = joined(out, repeated, "left_anti").unionByName(joined(out, repeated, "left_semi").dropDuplicates(["doc_id", own]))
+    return out.select(*docs.columns)
 
 
 COMPONENTS_SQL = r"""

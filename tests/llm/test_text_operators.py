@@ -148,23 +148,45 @@ def test_components_of_many_near_copies(spark):
     assert sorted(map(tuple, got)) == sorted(brute.components(rows))
 
 
-def test_links_behind_a_long_hub(spark):
-    """A text that is too long for the others of its posting list is their hub in both hub turns."""
-    trios = {}
-    for i in range(400):
-        short = f"a{i} b{i} c{i} d{i} e{i}"
-        texts = [short + " " + " ".join(f"w{i}x{k}" for k in range(24)), short, short.upper()]
-        long, one = jaccard.shingle_sets(pa.array(texts[:2]))
-        if one[0] in long[: len(long) - -(-3 * len(long) // 4) + 1]:
-            trios[i] = texts
-    rows = [(i, k, t, 25 if k == 0 else 1) for i, texts in trios.items() for k, t in enumerate(texts)]
-    frame = spark.createDataFrame(rows, "i long, k long, text string, n long").withColumn("key", F.xxhash64("text"))
-    for turn in range(jaccard.HUB_ROUNDS):
-        hubs = frame.groupBy("i").agg(F.min_by("k", F.xxhash64("key", "n", F.lit(turn))).alias("hub")).filter("hub = 0")
-        frame = frame.join(hubs.select("i"), "i", "left_semi")
-    texts = trios[frame.agg(F.min("i")).first()[0]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == [(0, 25, 0), (1, 1, 1), (2, 1, 1)]
+def components(spark, rows) -> list[tuple]:
+    return sorted(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+
+
+def test_links_among_texts_of_common_shingles(spark, monkeypatch):
+    """Short texts of few frequent shingles: most classes are long, and lists hold many components."""
+    rng = np.random.default_rng(11)
+    stock = [" ".join(f"s{p}x{k}" for k in range(12)) for p in range(9)]
+    rows = []
+    for i in range(150):
+        parts = [stock[int(k)] for k in rng.choice(9, int(rng.integers(1, 5)), replace=False)]
+        rows.append((i, " ".join(parts) + (f" own{i}" if i % 3 == 0 else "")))
+    rows += [(1000 + i, rows[i][1].upper()) for i in range(0, 150, 4)]
+    for hubs in (64, 2):
+        monkeypatch.setattr(jaccard, "HUBS", hubs)
+        assert components(spark, rows) == sorted(brute.components(rows))
+
+
+def test_a_common_passage_makes_no_pairs(spark):
+    """A passage that thousands of unlike texts hold costs no candidates; near copies among them are found."""
+    passage = " ".join(f"licence{k}" for k in range(60))
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(120)) + " " + passage
+    rows = [(i, text(i)) for i in range(2000)] + [(5000 + i, text(i) + " tail") for i in range(0, 2000, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    first = jaccard.prefixes(docs)
+    active = jaccard._active(first)
+    assert jaccard._candidates(active, jaccard._classes(first, active)).count() <= 200
+
+
+def test_keep_one_judges_rows(spark):
+    w, u, v = (" ".join(f"{x}{k}" for k in range(30)) for x in "wuv")
+    rows = [(3, w, "a"), (7, w, "b"), (7, u, "c"), (9, v, "d"), (9, v, "d"), (9, v + " x", "e"), (None, u, "f"), (None, None, "g"), (4, "", "h"), (4, "", "h"), (None, " ".join(f"z{k}" for k in range(9)), "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    out = jaccard.keep_one(docs)
+    assert out.columns == docs.columns
+    kept = sorted((r["_key"] for r in out.collect()))
+    assert kept in (sorted("acdghhi"), sorted("aceghhi"))
 
 
 def test_repeats(docs):
