@@ -1,13 +1,15 @@
 """Document fingerprints by I-Match.
 
-The lexicon holds the terms (lower-cased words) whose document frequency lies in a band: not so rare
-that a few documents share them (``LOW`` of the documents, 2 at least), not so common that most do
-(``HIGH``). A fingerprint sorts the distinct lexicon terms of a text and hashes them within several
-random subsets of the lexicon. Subsets come in sizes from a half to 1/2048 of it, so that short and
-long texts both have some that a change leaves alone.
+The lexicon holds the terms (lower-cased words, as 64-bit hashes) whose document frequency lies in a
+band: not so rare that a few documents share them (``LOW`` of the documents, 2 at least), not so
+common that most do (``HIGH``). A fingerprint sorts the distinct lexicon terms of a text and hashes
+them within several random subsets of the lexicon, each drawn by a hash of its own. Subsets come in
+sizes from a quarter to 1/1024 of it, so that short and long texts both have some that a change
+leaves alone.
 
-The lexicon is a bit array over hash slots of terms, of fixed size (``BITS``), which a scalar subquery
-hands to every task. Native expressions only.
+Texts of m distinct terms on average give at most m / ``LOW`` lexicon terms, however many documents
+there are. A scalar subquery hands them to every task, in an array of ``BUCKETS`` small lists by hash,
+so membership is exact and takes one look. Native expressions only.
 
 Null texts are empty. A text without lexicon terms has the hash of the whole text in each place, so it
 equals its copies only. Equal texts have equal fingerprints. An empty table gives an empty result.
@@ -19,13 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.words import let, sha256_utf8, words
-from emberlog.session import checkpointed
+from emberlog.session import stored
 
 LOW = 1 / 500
 HIGH = 0.5
-BITS = 1 << 21  # a text of m terms on average gives at most m / LOW lexicon terms
-# (shift, bits) of a term's hash: the subset has the terms whose bits there are zero.
-SUBSETS = [(k * r, r) for r in (1, 3, 5, 7, 9, 11) for k in range(4)]
+BUCKETS = 1 << 16
+# Each subset holds a term with probability 2^-r; several independent ones of each size.
+SUBSETS = [(i, r) for i, r in enumerate([2] * 2 + [4] * 4 + [6] * 6 + [8] * 6 + [10] * 6)]
+RANGE_CHARS = 16 << 20  # characters of a range of documents
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def terms(text: Column) -> Column:
@@ -33,28 +40,30 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row: ``bits``, array<long> of ``BITS`` bits with those of the band's terms set."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    total = docs.agg(F.count("*").alias("n"))
-    df = docs.select(F.explode(terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = df.filter((F.col("df") >= 2) & (F.col("df") >= low * total.scalar()) & (F.col("df") <= high * total.scalar()))
-    slot = band.select(F.pmod("term", F.lit(BITS)).alias("slot"))
-    full = slot.groupBy(F.expr("slot div 64").alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    every = docs.sparkSession.range(BITS // 64).join(full, "id", "left")
-    # BITS / 64 numbers, whatever the input.
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+def band(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """The lexicon: term and df of the terms in the band."""
+    total = docs.count()
+    df = docs.select(F.explode(terms(_text())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.filter((F.col("df") >= 2) & (F.col("df") >= low * total) & (F.col("df") <= high * total))
+
 
+def lexicon(band: DataFrame) -> DataFrame:
+    """One row: ``lists``, array of ``BUCKETS`` arrays with the band's terms."""
+    full = band.groupBy(F.pmod("term", F.lit(BUCKETS)).alias("id")).agg(F.collect_list("term").alias("own"))
+    every = band.sparkSession.range(BUCKETS).join(full, "id", "left")
+    # BUCKETS rows, whatever the input.
+    each = F.struct("id", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["own"]).alias("lists"))
 
-def hashes(text: Column, bits: Column) -> Column:
+
+def hashes(text: Column, lists: Column) -> Column:
     """The fingerprint as array<long>, null where a subset has none of the text's terms."""
+
     def inside(t: Column) -> Column:
-        slot = F.pmod(t, F.lit(BITS))
-        word = F.get(bits, F.shiftright(slot, 6).cast("int"))
-        return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.array_contains(F.get(lists, F.pmod(t, F.lit(BUCKETS)).cast("int")), t)
 
-    def subset(ts: Column, shift: int, size: int) -> Column:
-        own = F.filter(ts, lambda t: F.shiftright(t, shift).bitwiseAND(F.lit((1 << size) - 1)) == 0)
+    def subset(ts: Column, i: int, r: int) -> Column:
+        own = F.filter(ts, lambda t: F.xxhash64(t, F.lit(i)).bitwiseAND(F.lit((1 << r) - 1)) == 0)
         return let(own, lambda o: F.when(F.size(o) > 0, F.xxhash64(o)))
 
     sets = lambda ts: F.array(*[subset(ts, *s) for s in SUBSETS])
@@ -74,61 +83,86 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """The documents with ``fingerprint`` (string)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_bits", lexicon(docs, low, high).scalar()).withColumn("fingerprint", as_text(let(text, lambda t: hashes(t, F.col("_bits"))))).drop("_bits")
+    """The documents with ``fingerprint`` (string); other columns pass through, one of that name is replaced."""
+    lists = lexicon(stored(band(docs, low, high), "lexicon"))
+    kept = docs.drop("fingerprint")
+    own = "_lists"
+    while own in kept.columns:
+        own += "_"
+    return kept.withColumn(own, lists.scalar()).select(*kept.columns, as_text(let(_text(), lambda t: hashes(t, F.col(own)))).alias("fingerprint"))
+
+
+def _ranges(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """One row: ``firsts``, the sorted first keys of ranges of documents; and the number of steps that find a range."""
+    spark = keyed.sparkSession
+    chars = keyed.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
+    wanted = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
+    dealt = keyed.select("k").repartitionByRange(wanted, "k").withColumn("part", F.spark_partition_id())
+    # A row per range.
+    firsts = dealt.groupBy("part").agg(F.min("k").alias("k")).agg(F.sort_array(F.collect_list("k")).alias("firsts"))
+    return stored(firsts, "ranges"), wanted.bit_length() + 1
 
 
-def _next(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id, mark, need; ids distinct) with ``next``, the doc_id and mark of the next smaller id; after the last the first.
+def _place(k: Column, firsts: Column, steps: int) -> Column:
+    """Where a key belongs: the last range whose first key is not greater, by halving; whether it is this first key; the range before it, cyclically."""
+    start = F.struct(F.lit(0).alias("low"), F.size(firsts).alias("high"))
 
-    Ids are dealt by ranges; only the first id of each range meets the others in one task.
-    """
-    dealt = checkpointed(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
-    own = dealt.withColumn("inside", F.lead(F.struct("doc_id", "mark")).over(Window.partitionBy("part").orderBy(F.desc("doc_id"))))
-    firsts = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "mark")).alias("first"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("part"))
-    after = firsts.select("part", F.coalesce(F.lead("first").over(down), F.first("first").over(down)).alias("after"))
-    # A row per range.
-    return own.join(F.broadcast(after), "part").select("doc_id", "need", F.coalesce("inside", "after").alias("next"))
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        up = (at["low"] < at["high"]) & (F.get(firsts, middle) <= k)
+        return F.struct(F.when(up, middle + 1).otherwise(at["low"]).alias("low"), F.when(up | (at["low"] >= at["high"]), at["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["low"] - 1
+    return let(found, lambda p: F.struct(p.alias("part"), (F.get(firsts, p) == k).alias("first"), F.pmod(p - 1, F.size(firsts)).alias("before")))
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), text, n_chars, edited, next: one row per distinct row.
+def with_next(docs: DataFrame, own: Column | None = None) -> DataFrame:
+    """doc_id, text (null as empty), own, next_text, next_own: each document beside the next one; ``own`` is computed before rows move.
 
-    The edited text has its last floor(n_chars / 3) code points replaced by the first as many of the
-    next document, in descending order of doc_id, nulls last; of several texts of one id the one of
-    smallest hash is the next document. Ids name documents: rows of one id meet in one task.
+    The order is by doc_id, descending, nulls last, and by the hash of the text among rows of one id; after
+    the last row comes the first. Texts move once, to ranges of this order; the first row of a range also
+    goes to the range before. Rows equal in id and text meet in one task.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    sizes = rows.select("doc_id", "mark", F.floor(F.char_length("text") / 3).cast("int").alias("need"))
-    pairs = checkpointed(_next(sizes.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.max("need").alias("need"))))
-    keyed = rows.withColumn("k", F.coalesce("doc_id", F.lit(-1))).withColumn("none", F.col("doc_id").isNull())
-    # Dealt by id alone, so that texts move once: the joins below find them where they are.
-    base = keyed.repartition("k", "none").groupBy("k", "none", "mark").agg(F.first("text").alias("text"))
-    wanted = pairs.select(F.coalesce("next.doc_id", F.lit(-1)).alias("k"), F.col("next.doc_id").isNull().alias("none"), F.col("next.mark").alias("wanted"), F.col("doc_id").alias("for_id"), "need", "next")
-    heads = base.join(wanted, ["k", "none"]).filter(F.col("mark") == F.col("wanted")).select(F.coalesce("for_id", F.lit(-1)).alias("k"), F.col("for_id").isNull().alias("none"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "next")
-    both = base.join(heads, ["k", "none"])
-    n = F.char_length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("head", F.lit(1), third))
-    return both.select(F.when(~F.col("none"), F.col("k")).alias("doc_id"), "mark", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next")
+    ident = F.col("doc_id").cast("long")
+    key = F.struct(ident.isNull().alias("none"), F.coalesce(F.bitwise_not(ident), F.lit(0)).alias("down"), F.xxhash64(_text()).alias("mark"))
+    plain = docs.select(ident.alias("doc_id"), _text().alias("text"), key.alias("k"))
+    firsts, steps = _ranges(plain)
+    extra = (F.lit(None) if own is None else own).alias("own")
+    # Both arrays are used once and in one projection over the scan, so no row carries them.
+    at = let(F.col("_firsts"), lambda f: let(key, lambda k: _place(k, f, steps)))
+    placed = docs.withColumn("_firsts", firsts.scalar()).select(ident.alias("doc_id"), _text().alias("text"), key.alias("k"), extra, at.alias("at"))
+    home = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("guest"))
+    guest = F.struct(F.col("at.before").alias("part"), F.lit(True).alias("guest"))
+    dealt = placed.select("doc_id", "text", "k", "own", F.explode(F.when(F.col("at.first"), F.array(home, guest)).otherwise(F.array(home))).alias("to"))
+    order = Window.partitionBy("part").orderBy("guest", "k")
+    rows = dealt.select("doc_id", "text", "k", "own", "to.part", "to.guest")
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_own", F.lead("own").over(order))
+    return rows.filter("NOT guest").select("doc_id", "text", "own", "next_text", "next_own")
+
+
+def edited(text: Column, after: Column) -> Column:
+    """The text with its last floor(n / 3) code points replaced by the first as many, or all, of ``after``."""
+    third = F.floor(F.char_length(text) / 3).cast("int")
+    return F.concat(F.substring(text, F.lit(1), F.char_length(text) - third), F.substring(after, F.lit(1), third))
 
 
 def robustness(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per document.
 
-    ``near_*`` compare the document's fingerprint with that of its edited text and of the next document.
+    ``near_*`` compare the document's fingerprint with that of its edited text and of the next document
+    (see ``with_next``). Repeated rows are documents of their own.
     """
-    pairs = edited_pairs(docs).withColumn("bits", lexicon(docs, low, high).scalar())
-    of = lambda c: let(F.col(c), lambda t: hashes(t, F.col("bits")))
-    done = checkpointed(pairs.select("doc_id", "mark", "n_chars", sha256_utf8(F.col("edited")).alias("edited_sha256"), of("text").alias("own"), of("edited").alias("changed"), "next"))
-    other = done.select(F.struct("doc_id", "mark").alias("next"), F.col("own").alias("others"))
-    joined = done.join(other, F.struct(done["next"]["doc_id"], done["next"]["mark"]).eqNullSafe(other["next"])).drop("next")
-    out = joined.select("doc_id", "mark", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("others")).alias("near_next"))
-    # Repeated rows come back as often as they are there.
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    copies = docs.groupBy(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("m")).agg(F.count("*").alias("copies"))
-    back = out.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
-    return back.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies", "id", "m", "mark")
+    lists = lexicon(stored(band(docs, low, high), "lexicon"))
+    source = docs.select("doc_id", "text").withColumn("_lists", lists.scalar())
+    pairs = with_next(source, let(_text(), lambda t: hashes(t, F.col("_lists"))))
+    changed = pairs.select("doc_id", "own", "next_own", F.char_length("text").cast("long").alias("n_chars"), edited(F.col("text"), F.col("next_text")).alias("edited")).withColumn("_lists", lists.scalar())
+    both = changed.select("doc_id", "own", "next_own", "n_chars", let(F.col("edited"), lambda t: F.struct(sha256_utf8(t).alias("sha"), hashes(t, F.col("_lists")).alias("own"))).alias("e"))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.col("e.sha").alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("e.own")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("e.own")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
