@@ -9,12 +9,14 @@ Each window of ``WINDOW`` words is filed under one symbol inside it: the highest
 smallest name. Three steps follow.
 
 1. Symbols are counted. A window can only repeat if its symbol occurs twice.
-2. Windows filed under such symbols are shuffled by symbol and compared by the hash of all their
-   words, 128 bits with the symbol; all but the first, by (doc_id, start), are repeats.
+2. Windows filed under such symbols are compared by the hash of all their words, 128 bits with the
+   symbol; all but the first, by (doc_id, start), are repeats. A run of texts compares its own windows
+   first and sends only the first of each to the shuffle by symbol, so a passage that stands in
+   many documents meets there once a run.
 3. Words covered by repeats are removed.
 
-A bit array of fixed size carries the counted symbols to the second scan; when they outnumber its
-bits it passes more windows, and the comparison decides as before.
+A bit array of 16 bits a counted symbol carries them to the second scan, of ``MOST_BITS`` at most;
+when they outnumber its bits it passes more windows, and the comparison decides as before.
 
 Rows of one id count as one document, in which equal windows of equal start are the same. Null texts
 have no words; null ids come first. Empty tables give empty results. Other columns do not pass
@@ -34,10 +36,11 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.pieces import runs
 from emberlog.llm.words import let, sha256_utf8, words
+from emberlog.session import discard, stored
 
 WINDOW = 20
 ROUNDS = 3
-BITS = 1 << 25
+MOST_BITS = 1 << 28
 RUN_BYTES = 3 << 20  # texts worked on together; their arrays take some forty times as much
 _U = np.uint64
 _LEVEL = _U(62)
@@ -139,8 +142,8 @@ def filed(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return whole, key[whole], hashes[whole]
 
 
-def _slots(key: np.ndarray) -> np.ndarray:
-    return (key ^ (key >> _U(31))) & _U(BITS - 1)
+def _slots(key: np.ndarray, size: int) -> np.ndarray:
+    return (key ^ (key >> _U(31))) & _U(size - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,45 +164,67 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(n, pa.int32())], ["symbol", "n"])
 
 
+def _ragged(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(values)]]), pa.int32()), pa.array(values))
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Places of ids in order, nulls first; equal ids have equal places."""
+    filled = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((filled, ids.is_valid().to_numpy(zero_copy_only=False)))
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    new = np.concatenate([[False], (filled[order][1:] != filled[order][:-1]) | (valid[order][1:] != valid[order][:-1])])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _file(bits: np.ndarray):
+    def grouped(b: pa.RecordBatch, begin: int, doc: np.ndarray, symbol: np.ndarray, start: np.ndarray, value: np.ndarray, late: bool) -> pa.RecordBatch:
+        """A row per text and symbol."""
+        order = np.lexsort((start, symbol, doc))
+        doc, symbol, start, value = doc[order], symbol[order], start[order], value[order]
+        at = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])])) if len(symbol) else np.zeros(0, np.int64)
+        rows = pa.array(begin + doc[at])
+        columns = [b.column("doc_id").take(rows), b.column("mark").take(rows), pa.array(symbol[at].view(np.int64)), _ragged(start.astype(np.int32), at), _ragged(value.view(np.int64), at), pa.array(np.full(len(at), late))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "symbol", "starts", "hashes", "late"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per text and symbol that may repeat: starts and hashes of its windows."""
+        """Per text and symbol that may repeat: starts and hashes of its windows. ``late``: the run has an earlier equal one; these are kept by text."""
         for b in batches:
             begin = 0
             for part in runs(b.column("text"), RUN_BYTES):
                 h, bounds = word_names(part)
                 start, key, value = filed(h, bounds)
-                slot = _slots(key)
+                slot = _slots(key, 8 * len(bits))
                 may = (bits[slot >> _U(3)] >> (slot & _U(7)).astype(np.uint8)) & 1 == 1
                 start, key, value = start[may], key[may], value[may]
                 doc = np.searchsorted(bounds, start, "right") - 1
-                order = np.lexsort((start, key, doc))
-                start, key, value, doc = start[order], key[order], value[order], doc[order]
-                at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
-                offsets = pa.array(np.concatenate([at, [len(key)]]), pa.int32())
-                rows = pa.array(begin + doc[at])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id").take(rows),
-                        b.column("mark").take(rows),
-                        pa.array(key[at].view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array((start - bounds[doc]).astype(np.int32))),
-                        pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64))),
-                    ],
-                    ["doc_id", "mark", "symbol", "starts", "hashes"],
-                )
+                start -= bounds[doc]
+                rank = _ranks(b.column("doc_id").slice(begin, len(part)))[doc]
+                order = np.lexsort((start, rank, value, key))
+                start, key, value, doc, rank = start[order], key[order], value[order], doc[order], rank[order]
+                if len(key):
+                    new = np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])
+                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+                    late = (rank != rank[lead]) | (start != start[lead])
+                    yield grouped(b, begin, doc[~late], key[~late], start[~late], value[~late], False)
+                    mark = b.column("mark").slice(begin, len(part)).to_numpy().view(_U)
+                    yield grouped(b, begin, doc[late], mark[doc[late]], start[late], np.zeros(int(late.sum()), _U), True)
                 begin += len(part)
 
     return run
 
 
 def _repeated_bits(counts: DataFrame) -> np.ndarray:
-    """Bits of the symbols that occur twice or more; collected as at most BITS / 64 rows."""
-    often = counts.groupBy("symbol").agg(F.sum("n").alias("n")).filter("n > 1")
-    slot = F.expr(f"(symbol ^ shiftrightunsigned(symbol, 31)) & {BITS - 1}")
+    """Bits of the symbols that occur twice or more; collected as at most MOST_BITS / 64 rows."""
+    often = stored(counts.groupBy("symbol").agg(F.sum("n").alias("n")).filter("n > 1").select("symbol"), "symbols")
+    size = min(max(1 << 16, 1 << (16 * often.count()).bit_length()), MOST_BITS)
+    slot = F.expr(f"(symbol ^ shiftrightunsigned(symbol, 31)) & {size - 1}")
     words_ = often.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words_.column("word").to_numpy()] = words_.column("bits").to_numpy()
+    discard(often)
     return out.view(np.uint8)
 
 
@@ -208,12 +233,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).filter(F.col("text").isNotNull())
     bits = _repeated_bits(rows.select("text").mapInArrow(_count, "symbol long, n int"))
-    windows = rows.mapInArrow(_file(bits), "doc_id long, mark long, symbol long, starts array<int>, hashes array<long>")
-    each = windows.repartition("symbol").select("doc_id", "mark", "symbol", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
-    flat = each.select("doc_id", "mark", "symbol", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
-    place = F.rank().over(Window.partitionBy("symbol", "hash").orderBy("doc_id", "start"))
-    late = flat.withColumn("place", place).filter("place > 1")
-    return late.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    windows = rows.mapInArrow(_file(bits), "doc_id long, mark long, symbol long, starts array<int>, hashes array<long>, late boolean")
+    each = windows.repartition("symbol").select("doc_id", "mark", "symbol", "late", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
+    flat = each.select("doc_id", "mark", "symbol", "late", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
+    place = F.rank().over(Window.partitionBy("symbol", "late", "hash").orderBy("doc_id", "start"))
+    late = flat.withColumn("place", place).filter("late OR place > 1")
+    return late.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def _kept(w, starts):
