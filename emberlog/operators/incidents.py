@@ -13,14 +13,18 @@ from emberlog.session import checkpointed
 LINES_PER_BUCKET = 100_000
 
 
+def _timed(parsed: DataFrame) -> DataFrame:
+    return parsed if "ts" in parsed.columns else parsed.withColumn("ts", F.col("timestamp").try_cast("timestamp_ntz"))
+
+
 def groupable(parsed: DataFrame) -> DataFrame:
-    """Records with a block id and a valid time, with ``ts``."""
-    return parsed.filter(F.col("block_id") != "").withColumn("ts", F.col("timestamp").try_cast("timestamp_ntz")).filter(F.col("ts").isNotNull())
+    """Records with a block id and a valid time, with ``ts``; records that have it already are not read again."""
+    return _timed(parsed).filter((F.col("block_id") != "") & F.col("ts").isNotNull())
 
 
 def ungroupable(parsed: DataFrame) -> DataFrame:
     """Records with a block id whose time is impossible; they belong to no incident."""
-    return parsed.filter((F.col("block_id") != "") & F.col("timestamp").try_cast("timestamp_ntz").isNull())
+    return _timed(parsed).filter((F.col("block_id") != "") & F.col("ts").isNull()).drop("ts")
 
 
 def grouped_logs(parsed: DataFrame, minutes: int = 5, strategy: str = "stream") -> DataFrame:
@@ -31,9 +35,11 @@ def grouped_logs(parsed: DataFrame, minutes: int = 5, strategy: str = "stream")
 def group_incidents(parsed: DataFrame, minutes: int = 5, nested: bool = False, strategy: str = "stream") -> DataFrame:
     """One row per incident; ids follow the first line of each block, then time. ``nested`` adds the logs, in order.
 
-    Numbering needs the incidents twice, so they are written once to the checkpoint folder.
+    Numbering needs the incidents twice, so they are written once to the checkpoint folder. Flat incidents
+    carry five narrow columns; a nested one gathers its logs in one row, so it must fit a task.
     """
-    logs = grouped_logs(parsed, minutes, strategy)
+    kept = parsed if nested else _timed(parsed).select("block_id", "ts", "line_number", "level", "component")
+    logs = grouped_logs(kept, minutes, strategy)
     record = F.struct("ts", "line_number", *[c for c in ("timestamp", "thread_id", "level", "component", "message", "block_id", "raw_line")])
     aggs = [
         F.min("ts").alias("start_ts"),

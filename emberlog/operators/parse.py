@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as X
@@ -19,21 +19,34 @@ def _stripped(lines: DataFrame) -> DataFrame:
     return lines.select("line_number", X.strip(F.col("value")).alias("raw_line"))
 
 
+def parse_records(lines: DataFrame) -> DataFrame:
+    """Records of the lines that have the log shape, and ``ts``, their time (null if impossible). A null line is blank.
+
+    A line gives an array of one record or null. Filters stay behind its explosion, so no expression
+    over a line is evaluated twice.
+    """
+
+    def record(raw: Column, f: Column) -> Column:
+        day, time, thread, level, component, message = (f[i] for i in range(6))
+        fields = lambda ts: {
+            "timestamp": X.iso_timestamp(ts, day, time),
+            "thread_id": thread,
+            "level": level,
+            "component": component,
+            "message": message,
+            "block_id": X.block_id(message),
+            "raw_line": raw,
+            "ts": ts,
+        }
+        return X.let(X.time_of(day, time), lambda ts: F.struct(*[c.alias(name) for name, c in fields(ts).items()]))
+
+    one = X.let(X.strip(F.col("value")), lambda raw: X.let(X.line_fields(raw), lambda f: F.when(f.isNotNull(), record(raw, f))))
+    return lines.select("line_number", F.inline_outer(F.array(one))).filter(F.col("raw_line").isNotNull())
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Records of the lines that have the log shape; others drop out (see ``rejects``). A null line is blank."""
-    hit = _stripped(lines).filter(F.col("raw_line").rlike(X.LINE_PATTERN))
-    f = hit.select("line_number", "raw_line", X.line_fields(F.col("raw_line")).alias("f"))
-    day, time, thread, level, component, message = (F.col("f")[i] for i in range(6))
-    return f.select(
-        "line_number",
-        X.iso_timestamp(day, time).alias("timestamp"),
-        thread.alias("thread_id"),
-        level.alias("level"),
-        component.alias("component"),
-        message.alias("message"),
-        X.block_id(message).alias("block_id"),
-        "raw_line",
-    )
+    """The records without ``ts``; lines that have not the log shape drop out (see ``rejects``)."""
+    return parse_records(lines).drop("ts")
 
 
 def rejects(lines: DataFrame) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import FAILURE_KEYWORDS
 from emberlog.operators import incidents as I
 from emberlog.operators import parse as P
 from emberlog.operators import profile as R
 from emberlog.schema import INCIDENT
-from emberlog.session import ensure_checkpoint_dir, table
+from emberlog.session import shared_path, table
 from emberlog.sources import lines_from_events, read_records_json, write_json_lines
 
 MINUTES = 1440
@@ -29,8 +28,12 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_lines(lines(spark, sf_dir))
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.parse_records(lines(spark, sf_dir))
+
+
 def incidents(spark: SparkSession, sf_dir: str, minutes: int = MINUTES, nested: bool = False) -> DataFrame:
-    return I.group_incidents(parsed(spark, sf_dir), minutes, nested)
+    return I.group_incidents(records(spark, sf_dir), minutes, nested)
 
 
 def flat_incidents(spark: SparkSession, sf_dir: str, minutes: int = MINUTES) -> DataFrame:
@@ -38,7 +41,7 @@ def flat_incidents(spark: SparkSession, sf_dir: str, minutes: int = MINUTES) ->
 
 
 def _grouped(spark: SparkSession, sf_dir: str, minutes: int = MINUTES, strategy: str = "stream") -> DataFrame:
-    logs = I.grouped_logs(parsed(spark, sf_dir), minutes, strategy)
+    logs = I.grouped_logs(records(spark, sf_dir), minutes, strategy)
     return logs.select("block_id", "line_number", "timestamp", F.date_format("anchor", "yyyy-MM-dd'T'HH:mm:ss").alias("anchor"))
 
 
@@ -49,8 +52,7 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested incidents written as JSON lines to the shared folder and read back."""
-    ensure_checkpoint_dir(spark)
-    path = os.path.join(spark.sparkContext.getCheckpointDir(), os.path.basename(tempfile.mktemp(prefix="incidents-")) + ".jsonl")
+    path = shared_path(spark, "incidents") + ".jsonl"
     write_json_lines(incidents(spark, sf_dir, nested=True), path)
     back = read_records_json(spark, path, INCIDENT)
     return back.select("incident_id", "block_id", "num_logs", F.size("logs").cast("long").alias("logs_read"), F.array_join("components", ",").alias("components"))
@@ -84,7 +86,7 @@ def queries() -> dict[str, Query]:
         "size_histogram": on_incidents(lambda i: R.histogram(i, "num_logs")),
         "duration_histogram": on_incidents(lambda i: R.histogram(i, "duration_seconds")),
         "mean_markers": on_incidents(R.mean_markers),
-        "failure_keywords": lambda s, d: R.failure_keywords(I.grouped_logs(parsed(s, d), MINUTES)),
+        "failure_keywords": lambda s, d: R.failure_keywords(I.grouped_logs(records(s, d).select("block_id", "ts", "line_number", "message"), MINUTES)),
         "median_incident": on_incidents(R.median_incident),
         "median_incident_logs": lambda s, d: R.median_incident_logs(incidents(s, d, nested=True)),
         "severity_color": on_incidents(R.severity_colors),
@@ -155,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
     summary = "SELECT incident_id, block_id, start_time, duration_seconds, num_logs, severity, CAST(len(comps) AS INTEGER) AS num_components FROM incidents"
     grouped = "SELECT block_id, line_number, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, strftime(anchor, '%Y-%m-%dT%H:%M:%S') AS anchor FROM grouped"
     middle = "pick AS (SELECT * FROM incidents ORDER BY num_logs, incident_id LIMIT 1 OFFSET (SELECT count(*) // 2 FROM incidents))"
-    keywords = ", ".join(f"'{k}'" for k in ("corrupt", "error", "fail", "exception", "timeout", "unable", "lost", "disconnect"))
+    keywords = ", ".join(f"'{k}'" for k in FAILURE_KEYWORDS)
     return {
         "incidents": _with(flat, MINUTES),
         "incidents_5min": _with(flat, 5),
