@@ -18,8 +18,10 @@ sets then share at least k.
    verification.
 4. Long classes meet each other over whole sets, in order of frequency among them: the n - o(n) + 1
    rarest shingles are indexed. Pairs inside a component change nothing, so each list is joined by hubs
-   from outside its largest component until no two components of a list are left; a turn writes at
-   most ``HUBS`` pairs for a posting, and groups of copies never expand into all pairs.
+   from outside its largest component until no two components of a list are left: two turns with the
+   class of fewest lonely shingles, then turns of up to ``HUBS`` hubs. There a pair is written once, by
+   its first shared shingle, and only if it shares enough of the index, so groups of copies never
+   expand into all pairs.
 5. Verification intersects whole sets, gathered for the classes with candidates only: first a star per
    class, then the candidates that are still in different components.
 
@@ -49,7 +51,8 @@ from emberlog.session import checkpointed, discard, stored
 SHINGLE = 5
 FREQUENT = 16
 LONGER = 20
-HUBS = 64
+HUBS = 1024
+HEAD = 32  # index shingles of a long class that its postings carry in the later turns
 #: Bits of the array that tells a scan which texts may be candidates: 16 a class, at most so many. Beyond, more texts pass and the join decides.
 MOST_BITS = 1 << 27
 #: Rows that are broadcast at most when documents are dropped; beyond, they are joined by a shuffle.
@@ -236,16 +239,38 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are linked."""
-    left = sets.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    """The pairs whose whole sets are linked; ``pairs`` is read several times, so it is written before.
+
+    Few pairs are broadcast, so that only sets that have a pair move, and move once.
+    """
+    few = pairs.count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda df: df
+    left = sets.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(sent(pairs), ["ka", "na"])
     right = sets.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, ["ka", "na"]).join(right, ["kb", "nb"])
+    if few:
+        right = right.join(F.broadcast(pairs.select("kb", "nb").distinct()), ["kb", "nb"], "left_semi")
     shared = F.size(F.array_intersect("ta", "tb"))
-    return checkpointed(both.filter(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("ka", "na", "kb", "nb"))
+    both = left.join(right, ["kb", "nb"]).filter(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared))
+    return checkpointed(both.select("ka", "na", "kb", "nb"))
+
 
+def _nodes(links: DataFrame) -> DataFrame:
+    return links.select(F.xxhash64("ka", "na").alias("u"), F.xxhash64("kb", "nb").alias("v"))
 
-def _components(links: DataFrame) -> DataFrame:
-    return connected_components(links.select(F.xxhash64("ka", "na").alias("u"), F.xxhash64("kb", "nb").alias("v")))
+
+def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links; only labels of components meet, not the links found before."""
+    if parts is None:
+        return checkpointed(connected_components(_nodes(links)))
+    ends = checkpointed(_nodes(links))
+    if ends.isEmpty():
+        return parts
+    new = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(parts, "node", "left_anti")
+    every = checkpointed(parts.unionByName(new.withColumn("component", F.col("node"))))
+    label = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
+    met = ends.join(label("u"), "u").join(label("v"), "v").filter("u_ <> v_").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
+    merged = connected_components(met).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return checkpointed(every.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
 
 
 def _labelled(df: DataFrame, parts: DataFrame, key: str, n: str, name: str) -> DataFrame:
@@ -255,53 +280,70 @@ def _labelled(df: DataFrame, parts: DataFrame, key: str, n: str, name: str) -> D
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """Of each class the pair with its partner of the smallest hash."""
+    """Of each class the pair (class, partner) with its partner of the smallest hash."""
     back = pairs.select(F.col("kb").alias("ka"), F.col("nb").alias("na"), F.col("ka").alias("kb"), F.col("na").alias("nb"))
-    picked = pairs.unionByName(back).groupBy("ka", "na").agg(F.min_by(F.struct("kb", "nb"), F.xxhash64("kb", "nb")).alias("o")).select("ka", "na", "o.kb", "o.nb")
-    return _oriented(picked)
-
+    picked = pairs.unionByName(back).groupBy("ka", "na").agg(F.min_by(F.struct("kb", "nb"), F.xxhash64("kb", "nb")).alias("o"))
+    return picked.select("ka", "na", "o.kb", "o.nb")
 
-def _oriented(pairs: DataFrame) -> DataFrame:
-    first = _ordered("ka", "na", "kb", "nb")
-    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
-    return pairs.select(pick("ka", "kb", "ka"), pick("na", "nb", "na"), pick("kb", "ka", "kb"), pick("nb", "na", "nb")).distinct()
 
+def _long_index(sets: DataFrame) -> DataFrame:
+    """token, key, n, rank, index, alone: the rarest shingles of each set that other sets hold, rarest first n - o(n) + 1.
 
-def _long_postings(sets: DataFrame) -> DataFrame:
-    """token, key, n: the rarest shingles of each set that other sets hold, rarest first n - o(n) + 1."""
+    ``index`` is their number in the set, ``alone`` the share in a thousand of shingles in no other set.
+    """
     each = sets.select("key", "n", F.explode("tokens").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("key", "n")
     ranked = each.join(shared, "token").withColumn("met", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
     # Those in no other set are rarest of all.
-    return ranked.filter(F.col("rank") <= F.col("met") - needed(F.col("n")) + 1).select("token", "key", "n")
+    index = F.col("met") - needed(F.col("n")) + 1
+    alone = F.floor((F.col("n") - F.col("met")) * 1000 / F.col("n"))
+    return ranked.filter(F.col("rank") <= index).select("token", "key", "n", "rank", index.alias("index"), alone.alias("alone"))
 
 
-def _long_links(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those among long classes that connect their components."""
-    postings = stored(_long_postings(sets).withColumn("was", F.lit(False)), "postings")
+def _long_links(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` after the links among long classes."""
+    index = stored(_long_index(sets), "index")
+    heads = index.filter(F.col("rank") <= HEAD).groupBy("key", "n").agg(F.first("index").alias("index"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("head"))
+    postings = stored(index.select("token", "key", "n", "alone", F.lit(False).alias("was")), "postings")
     turn = 0
     while not postings.isEmpty():
-        placed = _labelled(postings, _components(links), "key", "n", "component").withColumn("mark", F.pmod(F.xxhash64("key", "n", F.lit(turn)), F.lit(1 << 30)))
+        mark = F.pmod(F.xxhash64("key", "n", F.lit(turn)), F.lit(1 << 30))
+        mark = mark + F.col("alone") * (1 << 30) if turn < 2 else mark
+        placed = _labelled(postings, parts, "key", "n", "component").withColumn("mark", mark)
         free = F.when(~F.col("was"), F.col("mark"))
-        parts = placed.groupBy("token", "component").agg(F.count("*").alias("size"), F.count(free).alias("free"), F.min(free).alias("first"))
+        sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"), F.count(free).alias("free"), F.min(free).alias("first"))
         largest = F.struct("size", "component")
-        per_list = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", largest).alias("main"), (F.sum("free") - F.max_by("free", largest)).alias("waiting"), F.min("first").alias("first"))
+        per_list = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", largest).alias("main"), (F.sum("free") - F.max_by("free", largest)).alias("waiting"), F.min("first").alias("first"))
         mixed = checkpointed(per_list.filter("parts > 1 AND waiting > 0").select("token", "main", "waiting", "first"))
-        # The first turns take one hub a list; later all members outside the largest component wait to be one.
         hub = F.col("mark") == F.col("first") if turn < 2 else (F.col("component") != F.col("main")) & (F.col("mark") * F.col("waiting") <= HUBS << 30)
-        open_ = stored(placed.join(mixed, "token").withColumn("hub", ~F.col("was") & hub).select("token", "key", "n", "component", "was", "hub"), "turn")
-        hubs = open_.filter("hub").select("token", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("component").alias("other"))
-        met = open_.join(hubs, "token").filter((F.col("component") != F.col("other")) & _sized(F.col("n"), F.col("nb")))
-        pairs = checkpointed(_oriented(met.select(F.col("key").alias("ka"), F.col("n").alias("na"), "kb", "nb")))
-        if not pairs.isEmpty():
-            links = links.unionByName(_linked(pairs, sets))
+        open_ = stored(placed.join(mixed, "token").withColumn("hub", ~F.col("was") & hub).select("token", "key", "n", "alone", "component", "was", "hub"), "turn")
+        found = checkpointed(_hub_pairs(open_, heads if turn >= 2 else None))
+        parts = _grown(parts, _linked(found, sets))
         discard(postings)
-        postings = stored(open_.select("token", "key", "n", (F.col("was") | F.col("hub")).alias("was")), "postings")
+        postings = stored(open_.select("token", "key", "n", "alone", (F.col("was") | F.col("hub")).alias("was")), "postings")
         discard(open_)
         turn += 1
     discard(postings)
-    return links
+    return parts
+
+
+def _hub_pairs(postings: DataFrame, heads: DataFrame | None) -> DataFrame:
+    """Pairs (member, hub) of one list and two components that may be linked."""
+    carried = ["key", "n", "component"]
+    if heads is not None:
+        postings = postings.join(heads, ["key", "n"])
+        carried += ["index", "head"]
+    hubs = postings.filter("hub").select("token", *[F.col(c).alias(f"hub_{c}") for c in carried])
+    a, b = F.col("n"), F.col("hub_n")
+    may = (F.col("component") != F.col("hub_component")) & _sized(a, b)
+    if heads is not None:
+        # Behind the shorter prefix, of n - o(n) + 1, at most o(n) - 1 can be shared.
+        need = F.ceil((a + b) * 3 / 7) - F.greatest(needed(a), needed(b)) + 1
+        both = F.array_intersect("hub_head", "head")
+        whole = (F.col("index") <= HEAD) & (F.col("hub_index") <= HEAD)
+        may = may & (need <= F.least("index", "hub_index")) & F.coalesce(F.get(both, F.lit(0)) == F.col("token"), F.lit(True)) & (~whole | (F.size(both) >= need))
+    return postings.join(hubs, "token").filter(may).select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("hub_key").alias("kb"), F.col("hub_n").alias("nb")).distinct()
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -310,8 +352,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return stored(rows.withColumn("rid", F.monotonically_increasing_id()), "prefixes")
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Verified links between classes, enough to connect every component: ka, na, kb, nb."""
+def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node (the hash of a class) and component, for classes with a link."""
     active = stored(_active(rows), "active")
     classes = stored(_classes(rows, active), "classes")
     pairs = stored(_candidates(active, classes), "pairs")
@@ -319,24 +361,27 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     long = classes.filter("long").select("key", "n")
     ends = pairs.select(F.col("ka").alias("key"), F.col("na").alias("n")).unionByName(pairs.select(F.col("kb").alias("key"), F.col("nb").alias("n")))
     sets = _sets(docs, ends.unionByName(long))
-    first = checkpointed(_stars(pairs))
-    found = _linked(first, sets)
-    found = _long_links(sets.join(long, ["key", "n"], "left_semi"), found)
-    rest = pairs.join(first, ["ka", "na", "kb", "nb"], "left_anti")
-    parts = checkpointed(_components(found))
-    rest = _labelled(_labelled(rest, parts, "ka", "na", "u"), parts, "kb", "nb", "v").filter("u <> v").select("ka", "na", "kb", "nb")
-    return found.unionByName(_linked(rest, sets))
+    parts = _grown(None, _linked(checkpointed(_stars(pairs)), sets))
+    chosen = stored(sets.join(long, ["key", "n"], "left_semi"), "long")
+    parts = _long_links(chosen, parts)
+    discard(chosen)
+    # A star's own pair that failed is tried again here: it costs less than telling them apart.
+    rest = _labelled(_labelled(pairs, parts, "ka", "na", "u"), parts, "kb", "nb", "v").filter("u <> v").select("ka", "na", "kb", "nb")
+    parts = _grown(parts, _linked(checkpointed(rest), sets))
+    for table in (pairs, classes, sets):
+        discard(table)
+    return parts
 
 
 def _membership(docs: DataFrame) -> DataFrame:
     """doc_id, key, n, component (its name; null without words), component_id of every row."""
     rows = prefixes(docs)
     counted = stored(rows.select("doc_id", "key", "n"), "counted")
-    pairs = links(docs, rows)
+    parts = components(docs, rows)
     discard(rows)
     full = counted.filter("n > 0")
     classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
-    named = stored(_labelled(classes, _components(pairs), "key", "n", "component"), "named")
+    named = stored(_labelled(classes, parts, "key", "n", "component"), "named")
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     resolved = named.join(lowest, "component").select("key", "n", "component", "component_id")
     joined = full.join(resolved, ["key", "n"]).select("doc_id", "key", "n", "component", "component_id")
