@@ -1,17 +1,16 @@
 """Personal data: candidate spans and boosted trees that select among them.
 
 Patterns propose spans in high recall, which may overlap. Spans of the base kinds whose format holds
-(parts of an address, Luhn sum, number of digits) are always taken. So are card numbers of usual grouping inside a longer run of digits that is no card
-itself. The others, among them other groups of digits and parts of dotted runs that have the format of
-a card or an address, are scored by boosted
-regression trees over a few coarse features of format and context, and taken above a threshold that
-is calibrated for precision.
-
-The trees are fitted to the corpus itself: a candidate that its pattern's validator confirms is a
-positive, one that it refutes is a negative, and the validator's own evidence is no feature. Features
-have few values, so the training set is a table of counts over feature vectors, bounded by the number
-of distinct vectors (``VECTORS``), whatever the input. Everything that touches text is a native
-expression.
+(parts of an address, Luhn sum, number of digits) are always taken. The others are scored by boosted
+regression trees over coarse features of format and context, and taken above a threshold of their
+kind: written-out addresses, numbers with an area code, cards and addresses inside longer runs of
+digits, and long tokens that may be secrets. Of the taken ones, those that overlap a base span or a
+better one that is taken leave.
+
+The trees are fitted to labelled sentences with personal data and look-alikes (``pii_examples``), whose
+labels come from no pattern; a second fold of them calibrates each kind's threshold for precision, a
+third is for tests. What a pattern's own check has looked at (digits of a card, sums) is no feature.
+Everything that touches text is a native expression, and documents are scanned once.
 
 Null texts are empty: no spans. Repeated rows are searched once each. Other columns do not pass
 through ``find`` and all pass through ``redact``. An empty table gives an empty result. Positions
@@ -23,12 +22,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.pii_examples import CALIBRATION, FITTING, TESTING, examples
 from emberlog.llm.words import let, running_sums, sha256_utf8
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "secret"]
 # A search goes on at the end of the last match (\G) or at the start of a run of the pattern's first
 # characters, which are the only places where a leftmost match can begin. Possessive repeats match the
 # same texts as greedy ones here and need no stack.
@@ -41,8 +42,9 @@ BASE_PATTERNS = {
 }
 # What a text must contain for the pattern to be tried.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-# Candidates beyond the base kinds: written-out addresses, numbers in groups, and numbers with an area code.
+# Candidates beyond the base: written-out addresses, numbers with an area code, long tokens of letters and digits.
 MORE_PATTERNS = {
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}+=*",
     "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}+\x20?[\[(]?\x20?\bat\b\x20?[\])]?\x20?[A-Za-z0-9-]{{1,63}}\x20?[\[(]?\x20?\bdot\b\x20?[\])]?\x20?[A-Za-z]{{2,24}}\b",
     "phone": r"(?<![0-9.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
@@ -55,11 +57,14 @@ _TOKENS = {"ip": r"[0-9]+\.?", "card": r"[0-9]+[\x20-]?"}
 # Card numbers as they are printed: in one group, in fours, or as 4-6-4 and 4-6-5.
 USUAL_CARD = r"^(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5})$"
 CONTEXT = 24
-CUES = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|card|visa|iban|account|ip|host|server|address|write)\b"
-VECTORS = 4096
-ROUNDS = 12
-RATE = 0.5
+# Words before a span that speak for and against it.
+CUES = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|number|reach|card|visa|paid|pay|iban|account|ip|host|server|ping|address|write|token|api_?key|key|secret|passw(?:or)?d|bearer|auth)\b"
+AGAINST = r"(?i)\b(?:order|part|item|serial|version|release|build|oid|section|chapter|invoice|isbn|sku|ref|lot|tracking|sequence|checksum|sha\d*|md5|etag|commit|hash|uuid|file)\b"
+EXAMPLES = 400  # labelled texts per kind, and as many look-alikes
+ROUNDS = 40
+RATE = 0.3
 PRECISION = 0.9
+NEAR = 300  # candidates that may begin within reach of a span, to either side, after overlaps of one start are put in order
 
 
 _SPAN = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
@@ -149,34 +154,42 @@ def _inside(text: Column, kind: str) -> Column:
     return F.flatten(F.transform(_spans(text, RUN_PATTERNS[kind], _NEEDS[kind], failed), lambda run: _inner(run, kind)))
 
 
-def candidates(text: Column, base_only: bool = False) -> Column:
+def candidates(text: Column) -> Column:
     """All proposed spans: array<struct<start, rank, stop, kind, base, confirmed, value, before, after>>, kinds in order."""
+
     def tagged(kind: str, base: bool):
         def one(s: Column) -> Column:
-            confirmed = valid(kind, s["value"]) if base else s["value"].rlike(USUAL_CARD) if kind == "card" else F.lit(False)
-            fields = {"start": s["start"], "rank": F.lit(KINDS.index(kind)), "stop": s["stop"], "kind": F.lit(kind), "base": F.lit(base), "confirmed": confirmed, "value": s["value"], "before": s["before"], "after": s["after"]}
+            fields = {"start": s["start"], "rank": F.lit(KINDS.index(kind)), "stop": s["stop"], "kind": F.lit(kind), "base": F.lit(base), "confirmed": valid(kind, s["value"]) if base else F.lit(False), "value": s["value"], "before": s["before"], "after": s["after"]}
             return F.struct(*[c.alias(name) for name, c in fields.items()])
 
         return one
 
-    sets = ((BASE_PATTERNS, True),) if base_only else ((BASE_PATTERNS, True), (MORE_PATTERNS, False))
-    found = [F.transform(_spans(text, patterns[kind], _NEEDS[kind] if base else None, _plausible(kind, base)), tagged(kind, base)) for kind in KINDS for patterns, base in sets if kind in patterns]
-    return F.concat(*found, *[F.transform(_inside(text, kind), tagged(kind, False)) for kind in RUN_PATTERNS if not base_only])
+    found = [F.transform(_spans(text, patterns[kind], _NEEDS.get(kind) if base else None, _plausible(kind, base)), tagged(kind, base)) for kind in KINDS for patterns, base in ((BASE_PATTERNS, True), (MORE_PATTERNS, False)) if kind in patterns]
+    return F.concat(*found, *[F.transform(_inside(text, kind), tagged(kind, False)) for kind in RUN_PATTERNS])
 
 
 # Features by name: whole numbers of few values over a candidate and the text around it.
-FEATURES = ["kind", "digits", "groups", "cue", "left", "right"]
+FEATURES = ["kind", "groups", "first", "last", "separator", "bracket", "usual", "hex", "cue", "against", "left", "right"]
 
 
 def _features(s: Column) -> Column:
-    before, after = s["before"], s["after"]
-    digits = F.length(F.regexp_replace(s["value"], "[^0-9]", ""))
+    value, before, after = s["value"], s["before"], s["after"]
     side = lambda c: F.when(c == "", 0).when(c.rlike(r"[\x20\x09-\x0D]"), 1).when(c.rlike("[A-Za-z0-9]"), 2).otherwise(3)
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    separator = F.when(value.rlike("^[A-Za-z0-9]+$"), 0).when(value.rlike(r"^[A-Za-z0-9\x20]+$"), 1).when(value.rlike("^[A-Za-z0-9-]+$"), 2).when(value.rlike(r"^[A-Za-z0-9.]+$"), 3).otherwise(4)
+    parts = F.filter(F.split(value, r"[^A-Za-z0-9]+"), lambda x: x != "")
+    size = lambda x: F.least(F.coalesce(F.char_length(x), F.lit(0)), F.lit(8))
     return F.struct(
         s["rank"].alias("kind"),
-        F.least(F.floor(digits / 2), F.lit(12)).cast("int").alias("digits"),
-        F.least(F.size(F.split(s["value"], r"[^A-Za-z0-9]+")), F.lit(7)).alias("groups"),
-        F.when(before.rlike(CUES), 1).otherwise(0).alias("cue"),
+        F.least(F.size(parts), F.lit(7)).alias("groups"),
+        size(F.get(parts, F.lit(0))).alias("first"),
+        size(F.get(parts, F.size(parts) - 1)).alias("last"),
+        separator.alias("separator"),
+        flag(value.rlike(r"[(\[]")).alias("bracket"),
+        flag((s["kind"] == "card") & value.rlike(USUAL_CARD)).alias("usual"),
+        flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
+        flag(before.rlike(CUES)).alias("cue"),
+        flag(before.rlike(AGAINST)).alias("against"),
         side(F.right(before, F.lit(1))).alias("left"),
         side(after).alias("right"),
     )
@@ -199,15 +212,14 @@ class Tree:
         return F.when(x[self.root[0]] <= self.root[1], side(self.low)).otherwise(side(self.high))
 
 
-def boost(rows: list[dict]) -> tuple[list[Tree], float]:
-    """Gradient boosting of depth-two trees on weighted feature vectors; returns trees and the calibrated threshold.
+Model = tuple[list[Tree], dict[str, float]]
 
-    ``rows``: features, ``positive`` and ``negative`` counts. The threshold is the lowest score at which
-    the share of positives is at least ``PRECISION``, or infinite if there is none.
-    """
+
+def boost(rows: list[dict]) -> list[Tree]:
+    """Gradient boosting of depth-two trees on feature vectors with ``positive`` and ``negative`` counts."""
     trees: list[Tree] = []
     score = [0.0] * len(rows)
-    cuts = [(f, c) for f in FEATURES for c in sorted({r[f] for r in rows})]
+    cuts = [(f, c) for f in FEATURES for c in sorted({r[f] for r in rows})[:-1]]
 
     def gain(members: list[int], g: list[float], h: list[float]):
         best = (-1.0, (FEATURES[0], 0, 0.0, 0.0))
@@ -231,58 +243,82 @@ def boost(rows: list[dict]) -> tuple[list[Tree], float]:
         low, high = ([i for i in everyone if (rows[i][f] > c) == side] for side in (False, True))
         trees.append(Tree((f, c), gain(low, g, h)[1], gain(high, g, h)[1]))
         score = [s + trees[-1].value(r) for s, r in zip(score, rows, strict=True)]
-    threshold, good, all_ = math.inf, 0, 0
-    order = sorted(zip(score, rows, strict=True), key=lambda x: -x[0])
-    for i, (s, r) in enumerate(order):
-        good, all_ = good + r["positive"], all_ + r["positive"] + r["negative"]
-        if (i + 1 == len(order) or order[i + 1][0] < s) and good >= PRECISION * all_:
-            threshold = s
-    return trees, threshold
-
-
-def train(docs: DataFrame) -> tuple[list[Tree], float]:
-    """Boosted trees from the base candidates of all documents, confirmed or refuted by their format."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    vector = lambda c: F.struct(_features(c).alias("f"), c["confirmed"].alias("ok"))
-    found = let(text, lambda t: F.transform(candidates(t, base_only=True), vector))
-    each = docs.select(F.explode(found).alias("c")).select("c.f", "c.ok")
-    vectors = each.groupBy("f").agg(F.count_if("ok").alias("positive"), F.count_if(~F.col("ok")).alias("negative"))
-    rows = vectors.select("f.*", "positive", "negative").orderBy(F.desc(F.col("positive") + F.col("negative")), *FEATURES).limit(VECTORS).collect()
-    return boost([r.asDict() for r in rows])
-
-
-def _selected(found: Column, model: tuple[list[Tree], float]) -> Column:
-    """Confirmed spans, and further ones that are not of the base whose score reaches the threshold; by start, then kind."""
-    trees, threshold = model
+    return trees
+
+
+def calibrate(trees: list[Tree], rows: list[dict]) -> dict[str, float]:
+    """Per kind the lowest score from which on the share of positives is at least ``PRECISION``; infinite if there is none."""
+    out = {}
+    for rank, kind in enumerate(KINDS):
+        own = sorted(((sum(t.value(r) for t in trees), r["positive"], r["negative"]) for r in rows if r["kind"] == rank), reverse=True)
+        out[kind], good, all_ = math.inf, 0, 0
+        for i, (s, p, n) in enumerate(own):
+            good, all_ = good + p, all_ + p + n
+            if (i + 1 == len(own) or own[i + 1][0] < s) and good >= PRECISION * all_:
+                out[kind] = s
+    return out
 
-    def scored(s: Column) -> Column:
-        if not trees or math.isinf(threshold):
-            return F.lit(False)
-        return let(_features(s), lambda x: sum((t.column(x) for t in trees), F.lit(0.0)) >= threshold)
 
-    return F.sort_array(F.filter(found, lambda s: s["confirmed"] | F.when(s["base"], False).otherwise(scored(s))))
+def labelled(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Feature vectors of the candidates beyond the base in labelled texts: the features, positive, negative, fold."""
+    docs = spark.createDataFrame(rows, "id long, text string, spans array<string>, fold int")
+    own = lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["stop"].cast("string"))
+    found = F.filter(candidates(F.col("text")), lambda c: ~c["base"])
+    each = docs.select("spans", "fold", F.explode(found).alias("c")).select(_features(F.col("c")).alias("f"), "fold", F.array_contains("spans", own(F.col("c"))).alias("ok"))
+    return each.groupBy("f", "fold").agg(F.count_if("ok").alias("positive"), F.count_if(~F.col("ok")).alias("negative")).select("f.*", "fold", "positive", "negative")
+
+
+def train(spark: SparkSession, per_case: int = EXAMPLES) -> Model:
+    """Trees from one fold of the labelled examples and thresholds by kind from another; bounded by ``per_case`` texts a kind."""
+    rows = [r.asDict() for r in labelled(spark, [r for r in examples(per_case) if r[3] != TESTING]).orderBy("fold", *FEATURES).collect()]
+    trees = boost([r for r in rows if r["fold"] == FITTING])
+    return trees, calibrate(trees, [r for r in rows if r["fold"] == CALIBRATION])
+
+
+def _selected(found: Column, model: Model) -> Column:
+    """Confirmed spans, and those of the others whose score reaches their kind's threshold and that overlap no better one; by start, then kind."""
+    trees, limits = model
+    finite = {k: v for k, v in limits.items() if not math.isinf(v)}
+
+    def scored(s: Column) -> Column:
+        if not trees or not finite:
+            return F.lit(None).cast("double")
+        limit = F.lit(None).cast("double")
+        for kind, value in finite.items():
+            limit = F.when(s["kind"] == kind, value).otherwise(limit)
+        total = let(_features(s), lambda x: sum((t.column(x) for t in trees), F.lit(0.0)))
+        return let(total, lambda v: F.when(v >= limit, v))
+
+    # A base span is better than any other, then the score, the length and the earlier start decide.
+    rated = lambda s: F.struct(s["start"], s["rank"], s["stop"], s["kind"], s["base"], F.when(s["confirmed"], F.lit(float("inf"))).when(~s["base"], scored(s)).alias("score"))
+    taken = F.filter(F.transform(found, rated), lambda s: s["score"].isNotNull())
+    worth = lambda s: F.struct(s["score"], s["stop"] - s["start"], -s["start"], -s["rank"])
+    beaten = lambda s, o: (o["start"] < s["stop"]) & (s["start"] < o["stop"]) & (worth(o) > worth(s))
+    near = lambda all_, i: F.slice(all_, F.greatest(i + 1 - NEAR, F.lit(1)), 2 * NEAR)
+    free = lambda all_: F.filter(all_, lambda s, i: s["base"] | ~F.exists(near(all_, i), lambda o: beaten(s, o)))
+    return let(F.sort_array(taken), lambda t: F.when(F.forall(t, lambda s: s["base"]), t).otherwise(free(t)))
 
 
 def _join(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
+def with_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Adds ``pii_text`` (null as empty) and ``pii`` (the selected spans); fits the trees first unless they are given."""
-    model = model or train(docs)
+    model = model or train(docs.sparkSession)
     text = docs.drop("pii", "pii_text").withColumn("pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     return text.withColumn("pii", let(F.col("pii_text"), lambda t: let(candidates(t), lambda c: _selected(c, model))))
 
 
-def find(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans (kind:start:end, by start and kind)."""
+def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, counts of base spans by kind, base_sha256, spans (kind:start:end, by start and kind), n_secret, n_spans."""
     marked = with_spans(docs.select("doc_id", "text"), model)
     kept = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "pii", F.filter("pii", lambda s: s["base"]).alias("base"))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return kept.select("doc_id", *[count(k) for k in KINDS], sha256_utf8(_join(F.col("base"))).alias("base_sha256"), _join(F.col("pii")).alias("spans"))
+    count = lambda of, kind: F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return kept.select("doc_id", *[count("base", k) for k in BASE_KINDS], sha256_utf8(_join(F.col("base"))).alias("base_sha256"), _join(F.col("pii")).alias("spans"), count("pii", "secret"), F.size("pii").cast("long").alias("n_spans"))
 
 
-def redact(docs: DataFrame, model: tuple[list[Tree], float] | None = None) -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with each run of overlapping spans replaced by the first one's kind in brackets.
 
     ``n_chars`` follows the new text. Null texts stay null.
