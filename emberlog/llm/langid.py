@@ -1,10 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions and labels every position with a language
-distribution; a document's distribution pools the log probabilities of all its positions. It is
-trained in numpy by backpropagation through time on a bounded sample of labelled rows. Since the
-state starts anew at each word, equal words have equal labels, and each distinct word of an Arrow
-batch is read once. Words longer than ``WORD_BYTES`` are read in parts of that length.
+The network reads windows of about ``WINDOW`` bytes, spaces included, in both directions and labels
+every position with a language distribution; a document's distribution pools the log probabilities of
+all its positions. Windows are cut before a character, never inside one, and every byte of a text is
+in one window. It is trained in numpy by backpropagation through time on a bounded sample of labelled
+rows: per language up to about twice ``SAMPLE_ROWS`` of them, of each an excerpt of ``EXCERPT``
+characters at a hashed place.
 
 A text that is null or has no letter is ``und`` with score 0. Repeated rows are predicted once each;
 an empty table gives an empty result; without any labelled row every document is ``und``. Languages,
@@ -24,21 +25,18 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.pieces import runs
 
-SAMPLE_ROWS = 150  # labelled documents per language, by the hash of the id
-MAX_LANGUAGES = 256  # the most frequent ones
-HIDDEN = 16
-WORD_BYTES = 24
-STEPS = 400
-BATCH_WORDS = 512
-STRIP = 2048  # words read together; their states stay in the processor's cache
-# Positions of one word are far from independent: evidence counts per so many of them.
+SAMPLE_ROWS = 150
+EXCERPT = 2000
+HIDDEN = 10
+WINDOW = 128
+STEPS = 150
+BATCH = 128  # windows of a training step
+STRIP = 2048  # windows read together; their states stay in the processor's cache
+RUN_BYTES = 4 << 20  # texts cut into windows together
+# Positions of one text are far from independent: evidence counts per so many of them.
 POSITIONS_PER_WORD = 6.0
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 @dataclass
 class Direction:
     """One gated recurrent layer: w (256, 3H) by input byte, u (H, 3H), b (3H); gates update, reset, candidate."""
@@ -50,38 +48,49 @@ class Direction:
     def forward(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """x (T, B) bytes to states (T, B, H); ``keep`` returns what the backward pass needs."""
         h = self.u.shape[0]
-        s, out, saved = np.zeros((x.shape[1], h), np.float32), np.empty((*x.shape, h), np.float32), []
+        # A sigmoid is half a hyperbolic tangent of half its argument.
+        w = self.w + self.b
+        w[:, : 2 * h] *= 0.5
+        gates, candidate = self.u[:, : 2 * h] * 0.5, np.ascontiguousarray(self.u[:, 2 * h :])
+        s, out, saved = np.zeros((x.shape[1], h), w.dtype), np.empty((*x.shape, h), w.dtype), []
         for t, byte in enumerate(x):
-            a = self.w[byte] + self.b
-            zr = _sigmoid(a[:, : 2 * h] + s @ self.u[:, : 2 * h])
+            a = w[byte]
+            zr = s @ gates
+            zr += a[:, : 2 * h]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
             z, r = zr[:, :h], zr[:, h:]
             rs = r * s
-            c = np.tanh(a[:, 2 * h :] + rs @ self.u[:, 2 * h :])
+            c = rs @ candidate
+            c += a[:, 2 * h :]
+            np.tanh(c, out=c)
             if keep:
-                saved.append((byte, s, z, r, rs, c))
+                saved.append((s, z, r, rs, c))
             s = s + z * (c - s)
             out[t] = s
         return out, saved
 
-    def backward(self, grad: np.ndarray, saved: list) -> list[np.ndarray]:
+    def backward(self, x: np.ndarray, grad: np.ndarray, saved: list) -> list[np.ndarray]:
         """Gradients of w, u, b from those of the states (T, B, H)."""
         h = self.u.shape[0]
-        dw, du, db = np.zeros_like(self.w), np.zeros_like(self.u), np.zeros_like(self.b)
-        ds = np.zeros(grad.shape[1:], np.float32)
+        du, each = np.zeros_like(self.u), np.empty((*x.shape, 3 * h), self.w.dtype)
+        ds = np.zeros(grad.shape[1:], self.w.dtype)
         for t in range(len(saved) - 1, -1, -1):
-            byte, s, z, r, rs, c = saved[t]
+            s, z, r, rs, c = saved[t]
             ds = ds + grad[t]
             dc = ds * z * (1 - c * c)
             drs = dc @ self.u[:, 2 * h :].T
             dz = ds * (c - s) * z * (1 - z)
             dr = drs * s * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], axis=1)
+            da = each[t]
+            da[:, :h], da[:, h : 2 * h], da[:, 2 * h :] = dz, dr, dc
             du[:, : 2 * h] += s.T @ da[:, : 2 * h]
             du[:, 2 * h :] += rs.T @ dc
-            db += da.sum(axis=0)
-            np.add.at(dw, byte, da)
             ds = ds * (1 - z) + drs * r + da[:, : 2 * h] @ self.u[:, : 2 * h].T
-        return [dw, du, db]
+        dw = np.zeros_like(self.w)
+        np.add.at(dw, x.reshape(-1), each.reshape(-1, 3 * h))
+        return [dw, du, dw.sum(axis=0)]
 
 
 @dataclass
@@ -92,28 +101,32 @@ class Model:
     out: np.ndarray  # (2H, L)
     bias: np.ndarray
 
-    def log_probabilities(self, x: np.ndarray, keep: bool = False):
-        """Words of one length, x (T, B): log probabilities (T, B, L) of every position."""
+    def states(self, x: np.ndarray, keep: bool = False):
         a, sa = self.ahead.forward(x, keep)
         b, sb = self.back.forward(x[::-1], keep)
-        states = np.concatenate([a, b[::-1]], axis=2)
+        return np.concatenate([a, b[::-1]], axis=2), sa, sb
+
+    def log_probabilities(self, states: np.ndarray) -> np.ndarray:
+        """(..., 2H) to log probabilities (..., L) of every position."""
         y = states @ self.out + self.bias
-        y -= y.max(axis=2, keepdims=True)
-        y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
-        return (y, states, sa, sb) if keep else y
-
-    def gradients(self, x: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross-entropy over positions, and its gradients in the order of ``parameters``."""
-        y, states, sa, sb = self.log_probabilities(x, keep=True)
-        n, h = x.size, self.ahead.u.shape[0]
-        hot = np.zeros(y.shape[1:], np.float32)
+        y -= y.max(axis=-1, keepdims=True)
+        y -= np.log(np.exp(y).sum(axis=-1, keepdims=True))
+        return y
+
+    def gradients(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy over the positions of ``mask`` (T, B), and its gradients in the order of ``parameters``."""
+        states, sa, sb = self.states(x, keep=True)
+        y = self.log_probabilities(states)
+        n, h = max(int(mask.sum()), 1), self.ahead.u.shape[0]
+        hot = np.zeros(y.shape[1:], y.dtype)
         hot[np.arange(len(target)), target] = 1
-        dy = (np.exp(y) - hot) / n
+        weight = mask[:, :, None] / np.asarray(n, y.dtype)
+        dy = (np.exp(y) - hot) * weight
         dstates = dy @ self.out.T
         flat = dy.reshape(-1, dy.shape[2])
-        return float(-(y * hot).sum() / n), [
-            *self.ahead.backward(dstates[:, :, :h], sa),
-            *self.back.backward(dstates[::-1, :, h:], sb),
+        return float(-(y * hot * weight).sum()), [
+            *self.ahead.backward(x, dstates[:, :, :h], sa),
+            *self.back.backward(x[::-1], dstates[::-1, :, h:], sb),
             states.reshape(-1, 2 * h).T @ flat,
             flat.sum(axis=0),
         ]
@@ -121,25 +134,38 @@ class Model:
     def parameters(self) -> list[np.ndarray]:
         return [self.ahead.w, self.ahead.u, self.ahead.b, self.back.w, self.back.u, self.back.b, self.out, self.bias]
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Per word: log probabilities summed over its positions, (words, L)."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, word in enumerate(words):
-            for at in range(0, len(word), WORD_BYTES):
-                part = word[at : at + WORD_BYTES]
-                places, parts = by_length.setdefault(len(part), ([], []))
-                places.append(i)
-                parts.append(part)
-        for size, (places, parts) in by_length.items():
-            for at in range(0, len(parts), STRIP):
-                x = np.frombuffer(b"".join(parts[at : at + STRIP]), np.uint8).reshape(-1, size).T
-                sums, to = self.log_probabilities(x).sum(axis=0), places[at : at + STRIP]
-                if size == WORD_BYTES:  # a word may have several such parts
-                    np.add.at(out, to, sums)
-                else:
-                    out[to] += sums
-        return out
+    def window_sums(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log probabilities summed over the positions of each window, (windows, L)."""
+        sums = np.zeros((len(starts), len(self.languages)), np.float64)
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), STRIP):
+            own = order[at : at + STRIP]
+            x, mask = padded(data, starts[own], sizes[own])
+            states = self.states(x)[0]
+            for t in range(len(x)):
+                y = self.log_probabilities(states[t])
+                sums[own] += y * mask[t][:, None] if not mask[t].all() else y
+        return sums
+
+
+def padded(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as (T, B) bytes with zeros behind their ends, and which positions are theirs."""
+    t = np.arange(int(sizes.max()))[:, None]
+    mask = t < sizes
+    return np.where(mask, data[np.minimum(starts + t, len(data) - 1)], 0).astype(np.uint8), mask
+
+
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the windows of texts that lie one after another, and the text of each; empty texts have none."""
+    sizes = np.diff(offsets)
+    each = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(sizes)), each)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
+    starts = offsets[:-1][text] + number * WINDOW
+    for _ in range(3):  # back to the first byte of a character
+        starts -= (data[starts] & 0xC0 == 0x80) & (number > 0)
+    ends = np.where(np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.zeros(0, bool), offsets[1:][text], np.concatenate([starts[1:], [0]]) if len(text) else starts)
+    return starts, ends - starts, text
 
 
 def new_model(languages: list[str], hidden: int = HIDDEN, seed: int = 0) -> Model:
@@ -150,30 +176,30 @@ def new_model(languages: list[str], hidden: int = HIDDEN, seed: int = 0) -> Mode
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Model:
-    """Fits (text, language) rows: Adam on batches of words of one length, each language as likely as another."""
-    languages = sorted({lang for _, lang in rows})
-    words: dict[int, list[tuple[list[bytes], int]]] = {}
-    for k, lang in enumerate(languages):
-        own: dict[int, list[bytes]] = {}
-        for text, of in rows:
-            if of == lang:
-                for w in text.encode("utf-8").split():
-                    own.setdefault(min(len(w), WORD_BYTES), []).append(w[:WORD_BYTES])
-        for size, ws in own.items():
-            words.setdefault(size, []).append((ws, k))
+    """Fits (text, language) rows: Adam on random windows of whole characters, each language as likely as another."""
+    own = {}
+    for lang in sorted({lang for _, lang in rows}):
+        texts = [t.encode("utf-8") for t, of in rows if of == lang and t]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if len(data):
+            own[lang] = data, *windows(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))[:2]
+    languages = list(own)
     model, rng = new_model(languages, seed=seed), np.random.default_rng(seed)
-    if not words:
+    if not own:
         return model
     params = model.parameters()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    sizes = sorted(words)
-    weight = np.array([sum(len(ws) for ws, _ in words[s]) * s for s in sizes], dtype=float)
     for step in range(1, steps + 1):
-        groups = words[sizes[int(rng.choice(len(sizes), p=weight / weight.sum()))]]
-        each = -(-BATCH_WORDS // len(groups))
-        picked = [(ws[int(i)], k) for ws, k in groups for i in rng.integers(0, len(ws), each)]
-        x = np.frombuffer(b"".join(w for w, _ in picked), np.uint8).reshape(len(picked), -1).T
-        _, grads = model.gradients(x, np.array([k for _, k in picked]))
+        target = rng.integers(0, len(languages), BATCH)
+        parts, sizes = [], []
+        for k in target:
+            data, starts, lengths = own[languages[k]]
+            i = int(rng.integers(0, len(starts)))
+            parts.append(data[starts[i] : starts[i] + lengths[i]])
+            sizes.append(len(parts[-1]))
+        sizes = np.array(sizes)
+        x, mask = padded(np.concatenate(parts), np.cumsum(sizes) - sizes, sizes)
+        _, grads = model.gradients(x, mask, target)
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, a, b in zip(params, grads, m, v, strict=True):
             a += 0.1 * (g - a)
@@ -188,22 +214,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most about 2 x ``rows`` labelled texts per language, not held out, of at most ``MAX_LANGUAGES`` languages.
+    """Excerpts of about 2 x ``rows`` labelled texts per language at most, not held out.
 
-    Rows are chosen by the hash of the id, in proportion to a language's count, so the sample does not grow with the input.
+    Rows are chosen by the hash of the id, in proportion to a language's count, so the sample grows with
+    the number of languages and not with the input. Every language is learned.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    mark = F.xxhash64(F.col("doc_id").cast("long"))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 2 * rows / r["n"])).otherwise(share)
-    chosen = known.filter(F.col("text").isNotNull()).filter(F.pmod(mark, F.lit(1 << 24)) < share * (1 << 24))
-    place = F.pmod(F.shiftright(mark, 24), F.lit(1 << 24))
-    got = chosen.select("text", "lang", "doc_id", place.alias("place")).orderBy("place", "doc_id", "text").limit(2 * rows * len(counts)).collect()
-    return [(r["text"], r["lang"]) for r in got]
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    narrow = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), mark.alias("mark"))
+    # A row per language.
+    share = narrow.groupBy("lang").agg(F.least(F.lit(1.0), 2 * rows / F.count("*")).alias("share"))
+    chosen = narrow.join(F.broadcast(share), "lang").filter(F.pmod("mark", F.lit(1 << 24)) <= F.col("share") * (1 << 24))
+    at = F.pmod(F.shiftright("mark", 24), F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1)
+    got = chosen.select(F.substring(F.col("text"), at.cast("int") + 1, F.lit(EXCERPT)).alias("text"), "lang", "mark").collect()
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["mark"], r["lang"]))]
 
 
 def _predictor(model: Model | None):
@@ -212,7 +236,7 @@ def _predictor(model: Model | None):
             names, scores = [], []
             begin = 0
             letters = b.column("has_letter").to_numpy(zero_copy_only=False)
-            for texts in runs(b.column("text")):
+            for texts in runs(b.column("text"), RUN_BYTES):
                 known = letters[begin : begin + len(texts)]
                 begin += len(texts)
                 pooled = _pooled(model, texts) if model else np.zeros((len(texts), 1))
@@ -226,20 +250,21 @@ def _predictor(model: Model | None):
 
 def _pooled(model: Model, texts: pa.Array) -> np.ndarray:
     """Document probabilities (texts, L)."""
-    flat = pc.replace_substring_regex(pc.fill_null(texts, ""), r"[\x09-\x0D]", " ")
-    lists = pc.split_pattern(flat, " ")
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    sums = model.word_sums([w.encode() for w in coded.dictionary.to_pylist()])
-    total = np.add.reduceat(sums[coded.indices.to_numpy()], offsets[:-1] - offsets[0], axis=0, dtype=np.float64) / POSITIONS_PER_WORD
-    total = np.exp(total - total.max(axis=1, keepdims=True))
+    plain = pc.fill_null(texts, "")
+    sizes = pc.binary_length(plain).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(x.as_buffer() for x in plain), np.uint8)
+    starts, lengths, text = windows(data, np.concatenate([[0], np.cumsum(sizes)]))
+    total = np.zeros((len(plain), len(model.languages)))
+    if len(starts):
+        np.add.at(total, text, model.window_sums(data, starts, lengths))
+    total = np.exp((total - total.max(axis=1, keepdims=True)) / POSITIONS_PER_WORD)
     return total / total.sum(axis=1, keepdims=True)
 
 
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     labelled = sample(docs, rows)
-    model = train(labelled) if labelled else None
+    model = train(labelled) if any(text for text, _ in labelled) else None
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"), letter)
     return kept.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")

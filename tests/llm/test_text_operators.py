@@ -227,6 +227,38 @@ def test_repeats_in_random_runs(spark):
     assert got == brute.repeats(rows)
 
 
+def test_language_gradients():
+    """Backpropagation against differences of the loss, in double precision."""
+    rng = np.random.default_rng(2)
+    model = langid.new_model(["a", "b", "c"], hidden=3, seed=1)
+    for part in (model.ahead, model.back):
+        part.w, part.u, part.b = (rng.standard_normal(x.shape) * 0.5 for x in (part.w, part.u, part.b))
+    model.out, model.bias = (rng.standard_normal(x.shape) for x in (model.out, model.bias))
+    sizes = np.array([7, 5, 6, 1])
+    x, mask = langid.padded(rng.integers(0, 6, int(sizes.sum())).astype(np.uint8), np.cumsum(sizes) - sizes, sizes)
+    target = np.array([0, 2, 1, 1])
+    grads = model.gradients(x, mask, target)[1]
+    for p, g in zip(model.parameters(), grads, strict=True):
+        for i in rng.choice(p[:6].size if p.ndim == 2 else p.size, 6):
+            at = np.unravel_index(int(i), p.shape)
+            old, step = p[at], 1e-5
+            p[at] = old + step
+            up = model.gradients(x, mask, target)[0]
+            p[at] = old - step
+            down = model.gradients(x, mask, target)[0]
+            p[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-7
+
+
+def test_language_windows_cover_every_byte():
+    texts = ["", "a" * 300, "ä漢🙂" * 200, "x", "", "é" * 64, "b" * 128, ""]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    starts, sizes, text = langid.windows(data, np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    got = ["".join(bytes(data[a : a + n]).decode() for a, n, of in zip(starts, sizes, text, strict=True) if of == i) for i in range(len(texts))]
+    assert got == texts and sizes.max() <= langid.WINDOW + 3
+
+
 def test_language_held_out_accuracy(table_docs):
     rows = langid.identify(table_docs).collect()
     lang = {r["doc_id"]: r["lang"] for r in table_docs.collect()}
