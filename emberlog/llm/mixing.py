@@ -7,12 +7,12 @@ then less than one block away from its share at every slot, as long as it lasts;
 that has run out stay empty. No document is dropped or repeated.
 
 Weights are whole numbers of slots in a period, so the schedule of one period is all there is to
-compute: its size follows the number of sources and ``PERIOD``, not the documents. Native
-expressions only.
+compute: a fold in one row, whose work is the period times the number of sources, at most four times
+its square, whatever the documents. It suits thousands of sources. Native expressions only.
 
 A null source is a source of its own; a null text has no bytes and counts as one byte. Repeated rows
-stay. Other columns pass through; the added ones replace columns of their names. An empty table
-gives an empty result.
+stay. Other columns pass through; those that ``mix`` adds replace columns of their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.ranking import offset_by_bucket
 from emberlog.llm.words import let
+from emberlog.session import stored
 
 PERIOD = 1024
 BLOCK_BYTES = 16 << 10
 EXPONENT = 0.7
 BUCKETS = 1024
-SLOTS_PER_BUCKET = 4096
+SLOTS_PER_BUCKET = 512
+FOLD = 64  # slots between two copies of the schedule so far
 ADDED = ["mix_source", "mix_bytes", "mix_block", "mix_slot", "mix_position"]
 
 
@@ -70,44 +72,54 @@ def schedule(share: DataFrame) -> DataFrame:
         best = F.array_min(F.filter(F.transform(s, claim), lambda c: c.isNotNull()))["i"]
         return let(best, lambda b: F.struct(F.transform(acc["begun"], lambda k, i: k + F.when(i == b, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("begun"), F.concat(acc["picks"], F.array(b)).alias("picks")))
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("begun"), F.array().cast("array<int>").alias("picks"))
-    folded = sources.filter(F.size("s") > 0).select("s", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, lambda acc, t: step(acc, t, F.col("s"), F.col("period")))["picks"].alias("picks"))
+    none = F.array().cast("array<int>")
+    longs = lambda a, z, by=1: F.sequence(a, z, F.lit(by).cast("long"))
+
+    def some(acc: Column, t: Column) -> Column:
+        """FOLD slots from t on, at most to the end of the period."""
+        begin = F.struct(acc["begun"].alias("begun"), none.alias("picks"))
+        own = F.aggregate(longs(t, F.least(t + (FOLD - 1), F.col("period") - 1)), begin, lambda a, t: step(a, t, F.col("s"), F.col("period")))
+        return let(own, lambda o: F.struct(o["begun"].alias("begun"), F.concat(acc["runs"], F.array(o["picks"])).alias("runs")))
+
+    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("begun"), F.array().cast("array<array<int>>").alias("runs"))
+    picks = F.flatten(F.aggregate(longs(F.lit(0).cast("long"), F.col("period") - 1, FOLD), start, some)["runs"])
+    folded = sources.filter(F.size("s") > 0).select("s", "period", picks.alias("picks"))
     rows = folded.select("s", "period", F.posexplode("picks").alias("slot", "i"))
     named = rows.select(F.get("s", F.col("i"))["mix_source"].alias("mix_source"), F.get("s", F.col("i"))["slots"].alias("slots"), "period", F.col("slot").cast("long").alias("slot"))
     return named.withColumn("turn", (F.row_number().over(Window.partitionBy("mix_source").orderBy("slot")) - 1).cast("long"))
 
 
-def slots(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
-    """_row (the document's own columns), _id, mix_source, mix_bytes, mix_block, mix_slot and _from, the bytes of the source before the document.
+def slots(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, columns: list[str] | None = None) -> DataFrame:
+    """_row (the document's own columns, or those of ``columns``), _id, mix_source, mix_bytes, mix_block, mix_slot and _from, the bytes of the source before the document.
 
     The running sum of bytes in a source is taken in ``BUCKETS`` hashed parts, so a source that holds
     most rows is spread over as many tasks.
     """
     size = F.greatest(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)), F.lit(1)).cast("long")
     mark = F.xxhash64("doc_id", F.col("text").cast("string"))
-    own = F.struct(*[c for c in docs.columns if c not in ADDED]).alias("_row")
+    own = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("_row")
     sized = docs.select(own, F.col("doc_id").alias("_id"), F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("mix_source"), size.alias("mix_bytes"), mark.alias("_mark"))
     sized = sized.withColumn("_bucket", F.pmod("_mark", F.lit(BUCKETS)).cast("int"))
 
-    narrow = sized.groupBy("mix_source", "_bucket").agg(F.sum("mix_bytes").alias("bytes"))
-    offsets = offset_by_bucket(narrow, "_bucket", F.col("bytes"), ["mix_source"])
+    narrow = stored(sized.groupBy("mix_source", "_bucket").agg(F.sum("mix_bytes").alias("bytes")), "sizes")
     named = {f"s:{k}": v for k, v in weights.items()} if weights is not None else None
-    plan = schedule(shares(narrow.groupBy("mix_source").agg(F.sum("bytes").alias("bytes")), named, period=period))
+    plan = stored(schedule(shares(narrow.groupBy("mix_source").agg(F.sum("bytes").alias("bytes")), named, period=period)), "plan")
+    per_source = plan.groupBy("mix_source").agg(F.max("slots").alias("slots"), F.max("period").alias("period"))
+    offsets = offset_by_bucket(narrow, "_bucket", F.col("bytes"), ["mix_source"]).join(per_source, "mix_source")
 
     before = Window.partitionBy("mix_source", "_bucket").orderBy("_mark", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    # BUCKETS rows a source, and one period: both follow the number of sources.
-    placed = sized.withColumn("_inside", F.coalesce(F.sum("mix_bytes").over(before), F.lit(0))).join(F.broadcast(offsets), ["mix_source", "_bucket"])
+    placed = sized.withColumn("_inside", F.coalesce(F.sum("mix_bytes").over(before), F.lit(0))).join(offsets, ["mix_source", "_bucket"])
     placed = placed.withColumn("_from", F.col("bucket_offset") + F.col("_inside")).withColumn("mix_block", F.floor(F.col("_from") / block_bytes).cast("long"))
-    turns = plan.groupBy("mix_source").agg(F.max("slots").alias("slots"), F.max("period").alias("period"), F.transform(F.sort_array(F.collect_list(F.struct("turn", "slot"))), lambda x: x["slot"]).alias("table"))
-    in_slots = placed.join(F.broadcast(turns), "mix_source")
-    slot = F.floor(F.col("mix_block") / F.col("slots")) * F.col("period") + F.get("table", F.pmod("mix_block", "slots").cast("int"))
-    slotted = in_slots.withColumn("mix_slot", slot.cast("long")).select("_row", "_id", "mix_source", "mix_bytes", "mix_block", "mix_slot", "_from")
-    return slotted
+    # A row per slot of the period; a source that holds most rows meets it in as many keys as it has slots.
+    in_slots = placed.withColumn("turn", F.pmod("mix_block", "slots")).join(plan.select("mix_source", "turn", "slot"), ["mix_source", "turn"])
+    slot = F.floor(F.col("mix_block") / F.col("slots")) * F.col("period") + F.col("slot")
+    return in_slots.withColumn("mix_slot", slot.cast("long")).select("_row", "_id", "mix_source", "mix_bytes", "mix_block", "mix_slot", "_from")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
-    """Adds mix_source, mix_bytes, mix_block (of the source), mix_slot and mix_position (0, 1, ... in the mixed order)."""
-    return _position(slots(docs, weights, block_bytes, period)).select("_row.*", *ADDED)
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, columns: list[str] | None = None) -> DataFrame:
+    """Adds mix_source, mix_bytes, mix_block (of the source), mix_slot and mix_position (0, 1, ... in the mixed order); ``columns`` names the own columns to carry, all without it."""
+    kept = [c for c in columns or docs.columns if c.lower() not in ADDED]
+    return _position(slots(docs, weights, block_bytes, period, kept)).select("_row.*", *ADDED)
 
 
 def _position(slotted: DataFrame) -> DataFrame:
@@ -124,4 +136,4 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, blo
     Slots order them; no global position is needed for that.
     """
     mixed = slots(docs, weights, block_bytes)
-    return mixed.repartitionByRange("mix_slot", "_from", "_id").sortWithinPartitions("mix_slot", "_from", "_id").select(*[F.col(f"_row.{c}") if c not in ADDED else F.col(c) for c in docs.columns])
+    return mixed.repartitionByRange("mix_slot", "_from", "_id").sortWithinPartitions("mix_slot", "_from", "_id").select("_row.*")

@@ -33,7 +33,7 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "mix_source")
+    return mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"]).drop("mix_source")
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
