@@ -1,18 +1,19 @@
 """A training corpus from documents: quality, near duplicates, personal data, mixing, packing.
 
-Each stage is written as Parquet and read again as the next one's documents.
+Each stage is written as Parquet and read again as the next one's documents. All but the last return
+the columns of documents, whatever their names. Null texts count as empty: the first stage rejects
+them as too short; a stage by itself keeps them. Of repeated rows one stays, by the second stage. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberlog.llm import jaccard, mixing, packing, pii, quality
-from emberlog.session import ensure_checkpoint_dir
+from emberlog.session import shared_path
 
 #: Stages two to five have no SQL; ``tests/llm`` holds each against plain Python.
 ORACLE_SQL = None
@@ -20,11 +21,12 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the latest policy keeps."""
-    return quality.apply_policy(quality.ledger(docs), "v3").filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return quality.apply_policy(quality.ledger(rows), "v3").filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
+    """Of each group of linked documents the one with the smallest id, nulls last; see ``keep_one`` for repeated ids."""
     return jaccard.keep_one(docs)
 
 
@@ -54,8 +56,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; results between them go to the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    top = posixpath.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
+    top = shared_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")

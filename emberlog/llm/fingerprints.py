@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.words import let, sha256_utf8, words
+from emberlog.llm.words import let, sha256_utf8, unused, words
 from emberlog.session import stored
 
 LOW = 1 / 500
@@ -86,9 +86,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     """The documents with ``fingerprint`` (string); other columns pass through, one of that name is replaced."""
     lists = lexicon(stored(band(docs, low, high), "lexicon"))
     kept = docs.drop("fingerprint")
-    own = "_lists"
-    while own in kept.columns:
-        own += "_"
+    own = unused("_lists", kept.columns)
     return kept.withColumn(own, lists.scalar()).select(*kept.columns, as_text(let(_text(), lambda t: hashes(t, F.col(own)))).alias("fingerprint"))
 
 

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.graph import connected_components
 from emberlog.llm.pieces import runs
+from emberlog.llm.words import unused
 from emberlog.session import checkpointed, discard, stored
 
 SHINGLE = 5
@@ -404,9 +405,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = members.groupBy("component").agg(F.min(order).alias("best"))
     judged = members.join(best, "component").select("doc_id", "key", "rows", F.col("best").eqNullSafe(order).alias("kept"))
     judged = stored(judged.filter("NOT kept OR rows > 1"), "judged")
-    own = "_key"
-    while own in docs.columns:
-        own += "_"
+    own = unused("_key", docs.columns)
     keyed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
 
     def joined(rows: DataFrame, to: DataFrame, how: str) -> DataFrame:

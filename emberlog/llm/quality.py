@@ -5,8 +5,8 @@ rule. A policy is a versioned list of rules, applied as a mask; ablations come f
 distinct bitmasks, without looking at a text again. Native expressions only.
 
 Null texts count as empty and fail the length rule. Repeated rows are judged once each. Other columns
-pass through unless a measurement has their name, which then replaces them. An empty table gives an
-empty ledger.
+pass through unless a measurement, ``fail_bits``, ``base_failed`` or ``kept`` has their name, which
+then replaces them. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.words import SPACE, let, words
+from emberlog.llm.words import SPACE, let, unused, words
 
 WINDOW = 8
 
@@ -92,20 +92,22 @@ def measure(docs: DataFrame) -> DataFrame:
     lines = let(full_lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
     stutter = lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1)))
     counted = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("repeated"), stutter(w).alias("stutter")))
-    kept = docs.drop(*MEASUREMENTS, "_lines", "_words")
-    out = kept.withColumn("_words", counted).withColumn("_lines", lines)
+    kept = docs.drop(*MEASUREMENTS)
+    w, of_lines = unused("_words", kept.columns), unused("_lines", kept.columns)
+    out = kept.withColumn(w, counted).withColumn(of_lines, lines)
+    field = lambda c, name: F.col(c).getField(name).cast("long")
     return out.select(
         *kept.columns,
-        F.col("_words.n").cast("long").alias("n_words"),
+        field(w, "n").alias("n_words"),
         without(SPACE).alias("word_chars"),
         (chars(text) - without(r"[#*$%&|<>]")).alias("n_symbols"),
-        (F.col("_lines.n") - F.col("_lines.distinct")).cast("long").alias("n_dup_lines"),
-        F.col("_words.repeated").cast("long").alias("n_repeat_words"),
-        F.col("_lines.n").cast("long").alias("n_lines"),
+        (field(of_lines, "n") - field(of_lines, "distinct")).alias("n_dup_lines"),
+        field(w, "repeated").alias("n_repeat_words"),
+        field(of_lines, "n").alias("n_lines"),
         without(r"\P{L}").alias("n_letters"),
         without(r"\P{Lu}").alias("n_upper"),
         without(r"[^!]").alias("n_exclaim"),
-        F.col("_words.stutter").cast("long").alias("n_stutter"),
+        field(w, "stutter").alias("n_stutter"),
     )
 
 

@@ -21,6 +21,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among ``columns``, which Spark compares without case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sha256_utf8(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

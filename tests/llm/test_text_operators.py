@@ -292,12 +292,43 @@ def test_mixing_stays_within_a_block(table_docs):
             assert k * period // q <= slot < -(-((k + 1) * period) // q)
 
 
+def test_mixing_against_earliest_deadlines(spark):
+    """Shares, the schedule of a period, blocks, slots and the order, against plain Python."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "x" * int(rng.integers(0, 400)), None if i % 11 == 0 else f"s{int(rng.integers(0, 5)) if i % 3 else 0}") for i in range(400)]
+    weights, period, block = {"s0": 0.5, "s1": 0.25, "s2": 0.1, "s4": 0.05}, 100, 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: r for r in mixing.mix(docs, weights, block, period).withColumn("mark", F.xxhash64("doc_id", "text")).collect()}
+    names = sorted({r[2] is None and "null" or f"s:{r[2]}" for r in rows})
+    share = [weights.get(x[2:], 0.0) / sum(weights.values()) * (period - len(names)) for x in names]
+    left = period - len(names) - sum(int(x) for x in share)
+    more = sorted(range(len(names)), key=lambda i: (int(share[i]) - share[i], names[i]))[:left]
+    q = [1 + int(x) + (i in more) for i, x in enumerate(share)]
+    begun, turns = [0] * len(names), {x: [] for x in names}
+    for t in range(period):
+        due, i = min((-(-((k + 1) * period) // q[i]), i) for i, k in enumerate(begun) if k * period // q[i] <= t)
+        assert t < due
+        begun[i] += 1
+        turns[names[i]].append(t)
+    order = []
+    for i, name in enumerate(names):
+        at = 0
+        own = [r for r in rows if (r[2] is None and "null" or f"s:{r[2]}") == name]
+        for d, text, _ in sorted(own, key=lambda r: (got[r[0]]["mark"] % mixing.BUCKETS, got[r[0]]["mark"], r[0])):
+            k = at // block
+            assert (got[d]["mix_block"], got[d]["mix_slot"]) == (k, k // q[i] * period + turns[name][k % q[i]])
+            order.append((got[d]["mix_slot"], at, d))
+            at += max(len(text), 1)
+    assert [d for _, _, d in sorted(order)] == sorted(got, key=lambda d: got[d]["mix_position"])
+
+
 @pytest.mark.parametrize("frame", [documents, clashing])
 def test_mixing_keeps_rows(spark, frame):
     docs = frame(spark)
     rows = mixing.mix(docs).collect()
     assert sorted(r["mix_position"] for r in rows) == list(range(len(ROWS)))
-    assert mixing.in_mixed_order(docs).columns == docs.columns
+    mixed = mixing.in_mixed_order(docs)
+    assert mixed.columns == docs.columns and Counter(mixed.collect()) == Counter(docs.collect())
 
 
 def test_empty_tables(spark, tmp_path):
