@@ -1,8 +1,11 @@
 """Command line: parse a log, group parsed logs, profile them.
 
-    python -m emberlog.cli parse LOG OUT.jsonl [--max-lines N]
-    python -m emberlog.cli group PARSED.jsonl OUT.jsonl [--minutes 5]
-    python -m emberlog.cli profile PARSED.jsonl INCIDENTS.jsonl
+    python -m emberlog.cli parse LOG OUT [--max-lines N]
+    python -m emberlog.cli group PARSED OUT [--minutes 5]
+    python -m emberlog.cli profile PARSED INCIDENTS
+
+A name that ends in .json is one JSON array in a file of this machine, for small results; any other
+name, which should end in .jsonl, is a folder of JSON lines.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from emberlog.operators import incidents as I
 from emberlog.operators import parse as P
 from emberlog.operators import profile as R
 from emberlog.schema import INCIDENT, PARSED_LOG
-from emberlog.sources import read_log_text, read_records_json, write_json_lines
+from emberlog.sources import read_log_text, read_records_json, write_json_array, write_json_lines
 
 
 def _show(title: str, df: DataFrame) -> None:
@@ -24,6 +27,13 @@ def _show(title: str, df: DataFrame) -> None:
     df.show(20, truncate=False, vertical=len(df.columns) > 5)
 
 
+def _write(df: DataFrame, path: str, order: str) -> None:
+    if path.endswith(".json"):
+        write_json_array(df, path, order)
+    else:
+        write_json_lines(df, path)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="emberlog")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -42,13 +52,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("emberlog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "parse":
         lines = read_log_text(spark, a.log, a.max_lines)
-        write_json_lines(P.parse_lines(lines), a.out)
-        _show("Parsing summary", P.parse_summary(lines))
+        _write(P.parse_lines(lines), a.out, "line_number")
+        _show("Parsing summary", P.parse_summary(lines).withColumn("success_pct", F.format_string("%.1f%%", "success_pct")))
         _show("Lines that failed to parse", P.rejects(lines))
         _show("First record", read_records_json(spark, a.out, PARSED_LOG).orderBy("line_number").limit(1))
     elif a.command == "group":
-        write_json_lines(I.group_incidents(read_records_json(spark, a.parsed, PARSED_LOG), a.minutes, nested=True), a.out)
+        parsed = read_records_json(spark, a.parsed, PARSED_LOG)
+        _write(I.group_incidents(parsed, a.minutes, nested=True), a.out, "incident_id")
         done = read_records_json(spark, a.out, INCIDENT)
+        _show("Records without an incident: their time is impossible", I.ungroupable(parsed).select("line_number", "timestamp", "block_id"))
         _show("Incident statistics", I.incident_stats(done))
         _show("Severity", I.severity_distribution(done))
         _show("First incident", done.filter("incident_id = 1").withColumn("logs", F.concat(F.lit("["), F.size("logs").cast("string"), F.lit(" logs...]"))))
@@ -62,6 +74,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             ("Incidents", R.incident_summary(found, 10)),
             ("Logs per incident", R.describe(found, "num_logs")),
             ("Severity", R.severity_colors(found)),
+            ("Incidents by number of logs", R.histogram(found, "num_logs").orderBy("bin")),
+            ("Incidents by duration", R.histogram(found, "duration_seconds").orderBy("bin")),
+            ("Means", R.mean_markers(found)),
+            ("Failure keywords", R.failure_keywords(found.select("block_id", F.col("incident_id").alias("anchor"), F.explode("logs.message").alias("message")))),
             ("Middle incident", R.median_incident_logs(found)),
         ):
             _show(title, df)
