@@ -44,9 +44,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.graph import connected_components
+from emberlog.llm.graph import SMALL, connected_components
 from emberlog.llm.pieces import runs
-from emberlog.llm.words import unused
+from emberlog.llm.words import let, unused
 from emberlog.session import checkpointed, discard, stored
 
 SHINGLE = 5
@@ -261,11 +261,14 @@ def _nodes(links: DataFrame) -> DataFrame:
 
 def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after further links; only labels of components meet, not the links found before."""
+    few = links.count() <= SMALL
+    ends = _nodes(links).coalesce(1) if few else _nodes(links)
     if parts is None:
-        return checkpointed(connected_components(_nodes(links)))
-    ends = checkpointed(_nodes(links))
-    if ends.isEmpty():
+        return checkpointed(connected_components(ends))
+    if links.isEmpty():
         return parts
+    if few and parts.count() <= SMALL:
+        parts = parts.coalesce(1)
     new = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(parts, "node", "left_anti")
     every = checkpointed(parts.unionByName(new.withColumn("component", F.col("node"))))
     label = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
@@ -325,7 +328,8 @@ def _long_links(sets: DataFrame, parts: DataFrame) -> DataFrame:
         postings = stored(open_.select("token", "key", "n", "alone", (F.col("was") | F.col("hub")).alias("was")), "postings")
         discard(open_)
         turn += 1
-    discard(postings)
+    for table in (postings, index):
+        discard(table)
     return parts
 
 
@@ -341,9 +345,9 @@ def _hub_pairs(postings: DataFrame, heads: DataFrame | None) -> DataFrame:
     if heads is not None:
         # Behind the shorter prefix, of n - o(n) + 1, at most o(n) - 1 can be shared.
         need = F.ceil((a + b) * 3 / 7) - F.greatest(needed(a), needed(b)) + 1
-        both = F.array_intersect("hub_head", "head")
         whole = (F.col("index") <= HEAD) & (F.col("hub_index") <= HEAD)
-        may = may & (need <= F.least("index", "hub_index")) & F.coalesce(F.get(both, F.lit(0)) == F.col("token"), F.lit(True)) & (~whole | (F.size(both) >= need))
+        first = lambda both: F.coalesce(F.get(both, F.lit(0)) == F.col("token"), F.lit(True)) & (~whole | (F.size(both) >= need))
+        may = may & (need <= F.least("index", "hub_index")) & let(F.array_intersect("hub_head", "head"), first)
     return postings.join(hubs, "token").filter(may).select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("hub_key").alias("kb"), F.col("hub_n").alias("nb")).distinct()
 
 
