@@ -119,6 +119,29 @@ def test_token_counts(docs, table_docs, name):
             assert r["over_limit"] == (r["n_tokens"] > 4096)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_pieces_of_random_texts(name):
+    """Ids and lengths against the library itself, on texts of any characters, white space and special tokens."""
+    from emberlog.llm import pieces
+
+    rng = np.random.default_rng(6)
+    path = public_tokenizers.path(name)
+    stock = ["a", "Z", "9", " ", " ", "  ", "\n", "\t", "é", "漢", "🙂", "▁", "<|endoftext|>", "<s>", "'s", "'LL", "\u00a0", "\u2028", "\x1c", "e\u0301", "ﬁ", "½", "\u200d", "the", "12345", "!!", "…", "\ufeff", "ß", "İ"]
+    texts = ["".join(stock[int(k)] for k in rng.integers(0, len(stock), int(rng.integers(0, 30)))) for _ in range(3000)]
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        wanted = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    else:
+        import sentencepiece
+
+        wanted = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    got = pieces.Encoded(pieces.model(path), pa.array(texts))
+    assert got.lengths().tolist() == [len(x) for x in wanted]
+    assert all(got.ids_of(i).tolist() == x for i, x in enumerate(wanted))
+
+
 def test_packing(docs, table_docs):
     from tokenizers import Tokenizer
 
