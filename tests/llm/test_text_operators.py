@@ -206,9 +206,21 @@ def test_links_among_texts_of_common_shingles(spark, monkeypatch):
         parts = [stock[int(k)] for k in rng.choice(9, int(rng.integers(1, 5)), replace=False)]
         rows.append((i, " ".join(parts) + (f" own{i}" if i % 3 == 0 else "")))
     rows += [(1000 + i, rows[i][1].upper()) for i in range(0, 150, 4)]
-    for hubs in (1024, 3):
-        monkeypatch.setattr(jaccard, "HUBS", hubs)
-        assert components(spark, rows) == sorted(brute.components(rows))
+    monkeypatch.setattr(jaccard, "HUBS", 3)
+    assert components(spark, rows) == sorted(brute.components(rows))
+
+
+def test_links_among_near_copies_of_all_degrees(spark):
+    """A large group in which some are too far from the most central one."""
+    rng = np.random.default_rng(1)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for i in range(120):
+        v = list(base)
+        for _ in range(int(rng.integers(0, 12))):
+            v[int(rng.integers(0, 150))] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(v)))
+    found = components(spark, rows)
+    assert found == sorted(brute.components(rows)) and 20 < len({r[2] for r in found}) < 110
 
 
 def test_a_common_passage_makes_no_pairs(spark):
