@@ -84,6 +84,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.merkle import tamper_check
+
+    return tamper_check(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -97,15 +103,17 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from emberlog.llm import jaccard, quality, substrings
+    from emberlog.llm import jaccard, merkle, quality, substrings
 
     return {
         "op1_quality_rules": quality.policy_sql("v3"),
         "quality_ablation": quality.ablation_sql(),
         "op7_jaccard_join": jaccard.COMPONENTS_SQL,
         "op9_substring_dedup": substrings.DEDUP_SQL,
+        "op11_merkle_manifest": merkle.TAMPER_SQL,
     }
