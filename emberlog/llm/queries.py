@@ -90,6 +90,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_check(table(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.line_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -104,11 +110,12 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_token_counts": op10_token_counts,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_line_dedup": op12_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from emberlog.llm import jaccard, merkle, quality, substrings
+    from emberlog.llm import jaccard, line_dedup, merkle, quality, substrings
 
     return {
         "op1_quality_rules": quality.policy_sql("v3"),
@@ -116,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard_join": jaccard.COMPONENTS_SQL,
         "op9_substring_dedup": substrings.DEDUP_SQL,
         "op11_merkle_manifest": merkle.TAMPER_SQL,
+        "op12_line_dedup": line_dedup.DEDUP_SQL,
     }
