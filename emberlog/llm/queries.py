@@ -96,6 +96,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberlog.llm.centroids import clusters, digest
+
+    return digest(*clusters(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -111,11 +117,12 @@ def queries() -> dict[str, Query]:
         "op10_token_counts": op10_token_counts,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_line_dedup": op12_line_dedup,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from emberlog.llm import jaccard, line_dedup, merkle, quality, substrings
+    from emberlog.llm import centroids, jaccard, line_dedup, merkle, quality, substrings
 
     return {
         "op1_quality_rules": quality.policy_sql("v3"),
@@ -124,4 +131,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_substring_dedup": substrings.DEDUP_SQL,
         "op11_merkle_manifest": merkle.TAMPER_SQL,
         "op12_line_dedup": line_dedup.DEDUP_SQL,
+        "op13_centroid_clustering": centroids.CLUSTERING_SQL,
     }
