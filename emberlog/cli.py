@@ -4,13 +4,16 @@
     python -m emberlog.cli group PARSED OUT [--minutes 5]
     python -m emberlog.cli profile PARSED INCIDENTS
 
-A name that ends in .json is one JSON array in a file of this machine, for small results; any other
-name, which should end in .jsonl, is a folder of JSON lines.
+A name that ends in .json is one JSON array in a file, one in .jsonl a folder of JSON lines. Any other
+name for incidents is a folder with flat incidents and, apart from them, their logs in chunks, both as
+JSON lines: for incidents of any size. Lines that fail to parse and records that belong to no incident
+are written beside the output, all of them.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,8 @@ from emberlog.operators import incidents as I
 from emberlog.operators import parse as P
 from emberlog.operators import profile as R
 from emberlog.schema import INCIDENT, PARSED_LOG
-from emberlog.sources import read_log_text, read_records_json, write_json_array, write_json_lines
+from emberlog.session import stored
+from emberlog.sources import read_log_text, read_records_json, write_incident_array, write_incident_lines, write_json_array, write_json_lines
 
 
 def _show(title: str, df: DataFrame) -> None:
@@ -51,19 +55,34 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("emberlog").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "parse":
-        lines = read_log_text(spark, a.log, a.max_lines)
-        _write(P.parse_lines(lines), a.out, "line_number")
-        _show("Parsing summary", P.parse_summary(lines).withColumn("success_pct", F.format_string("%.1f%%", "success_pct")))
-        _show("Lines that failed to parse", P.rejects(lines))
-        _show("First record", read_records_json(spark, a.out, PARSED_LOG).orderBy("line_number").limit(1))
+        records, rejects, n = P.parse_once(read_log_text(spark, a.log, a.max_lines))
+        _write(records, a.out, "line_number")
+        failed = f"{a.out}.rejects.jsonl"
+        write_json_lines(rejects, failed)
+        print("Parsing summary")
+        print(f"  Lines: {n['total_lines']}, parsed: {n['parsed']}, failed: {n['failed']}, success: {100 * n['parsed'] / n['total_lines'] if n['total_lines'] else 0:.1f}%")
+        _show(f"Lines that failed to parse, all of them in {failed}", rejects.orderBy("line_number"))
+        _show("First record", records.orderBy("line_number").limit(1))
     elif a.command == "group":
-        parsed = read_records_json(spark, a.parsed, PARSED_LOG)
-        _write(I.group_incidents(parsed, a.minutes, nested=True), a.out, "incident_id")
-        done = read_records_json(spark, a.out, INCIDENT)
-        _show("Records without an incident: their time is impossible", I.ungroupable(parsed).select("line_number", "timestamp", "block_id"))
-        _show("Incident statistics", I.incident_stats(done))
-        _show("Severity", I.severity_distribution(done))
-        _show("First incident", done.filter("incident_id = 1").withColumn("logs", F.concat(F.lit("["), F.size("logs").cast("string"), F.lit(" logs...]"))))
+        parsed = stored(read_records_json(spark, a.parsed, PARSED_LOG), "parsed")
+        flat, chunks = I.incidents_in_chunks(parsed, a.minutes)
+        flat, chunks = stored(flat, "incidents"), stored(chunks, "chunks")
+        if a.out.endswith(".json"):
+            write_incident_array(flat, chunks, a.out)
+        elif a.out.endswith(".jsonl"):
+            write_json_lines(I.nested(flat, chunks), a.out)
+        else:
+            write_incident_lines(flat, chunks, a.out)
+        odd, left = I.ungroupable(parsed).select("line_number", "timestamp", "block_id"), f"{a.out}.ungroupable.jsonl"
+        write_json_lines(odd, left)
+        stats = I.stats_record(flat).first()
+        blocks = R.distinct_blocks(I.groupable(parsed)).first()["n_blocks"]
+        logs = stats["total_logs"] if stats else 0
+        print(f"Logs with block ids: {logs}, blocks: {blocks}")
+        print(f"Created {stats['total_incidents'] if stats else 0} incidents from {logs} logs" + (f", {stats['avg_logs_per_incident']:.1f} logs each on average" if stats else ""))
+        _show(f"Records without an incident, as their time is impossible, all of them in {left}", odd.orderBy("line_number"))
+        print("Incident statistics\n" + json.dumps(stats.asDict() if stats else {}, indent=2))
+        _show("First incident", flat.filter("incident_id = 1").withColumn("logs", F.concat(F.lit("["), F.col("num_logs").cast("string"), F.lit(" logs...]"))))
     else:
         logs, found = read_records_json(spark, a.parsed, PARSED_LOG), read_records_json(spark, a.incidents, INCIDENT)
         for title, df in (

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as X
-from emberlog.functions.ranking import global_row_number
-
-IDS_PER_BUCKET = 100_000
+from emberlog.functions.ranking import row_at
+from emberlog.session import stored
 
 
 def dataset_overview(parsed: DataFrame) -> DataFrame:
-    """Rows, time range and length, share with a block id, distinct blocks and components."""
+    """Rows, time range and length, share with a block id, distinct blocks and components.
+
+    Records are counted per pair of block and component before they are shuffled; pairs are written once,
+    and each figure is a plain count over them.
+    """
     ts = F.col("timestamp").try_cast("timestamp_ntz")
-    out = parsed.agg(
-        F.count("*").alias("total_logs"),
-        F.min(ts).alias("first"),
-        F.max(ts).alias("last"),
-        F.count("block_id").alias("with_block"),
-        F.count_distinct("block_id").alias("unique_blocks"),
-        F.count_distinct("component").alias("unique_components"),
-    )
+    pairs = stored(parsed.groupBy("block_id", "component").agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last")), "pairs")
+    totals = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_logs"), F.min("first").alias("first"), F.max("last").alias("last"), F.coalesce(F.sum(F.when(F.col("block_id").isNotNull(), F.col("n"))), F.lit(0)).alias("with_block"))
+    distinct = lambda c, name: pairs.filter(F.col(c).isNotNull()).select(c).distinct().agg(F.count("*").alias(name))
+    out = totals.crossJoin(distinct("block_id", "unique_blocks")).crossJoin(distinct("component", "unique_components"))  # one row each
     return out.select(
         "total_logs",
         X.iso(F.col("first")).alias("start_time"),
@@ -53,18 +52,26 @@ def incident_summary(incidents: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, sample standard deviation, minimum, interpolated quartiles and maximum."""
-    quartile = lambda p: F.round(F.percentile(column, F.lit(p)), 6)
-    return df.agg(
-        F.count(column).alias("n"),
-        F.round(F.avg(column), 6).alias("mean"),
-        F.round(F.stddev_samp(column), 6).alias("std"),
-        F.min(column).cast("double").alias("min"),
-        quartile(0.25).alias("p25"),
-        quartile(0.5).alias("p50"),
-        quartile(0.75).alias("p75"),
-        F.max(column).cast("double").alias("max"),
-    )
+    """Count, mean, sample standard deviation, minimum, interpolated quartiles and maximum.
+
+    Quartiles come from counts per value: a row per distinct value is summed up in order, not a row per
+    record. Sizes of incidents have fewer distinct values than the square root of twice the logs.
+    """
+    value = F.col(column).cast("double")
+    counts = stored(df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n")), "values")
+    ordered = Window.partitionBy(F.lit(0)).orderBy("v")
+    upto = counts.withColumn("upto", F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
+
+    def quartile(p: float) -> Column:
+        """Between the values at the whole places around p (n - 1)."""
+        at = (F.col("all") - 1) * p
+        held = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+        low, high, part = held(F.floor(at)), held(F.ceil(at)), F.max(at - F.floor(at))
+        return F.round(low + (high - low) * part, 6)
+
+    quartiles = upto.agg(quartile(0.25).alias("p25"), quartile(0.5).alias("p50"), quartile(0.75).alias("p75"))
+    plain = df.agg(F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return plain.crossJoin(F.broadcast(quartiles)).select("n", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -100,18 +107,19 @@ def failure_keywords(logs: DataFrame) -> DataFrame:
     return hits.groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword")
 
 
+def middle_incident(incidents: DataFrame) -> DataFrame:
+    """The row of the incident in the middle when sorted by size, then id. Incidents are counted, not ranked; they are read four times."""
+    return row_at(incidents, "num_logs", "incident_id", F.floor(F.col("n") / 2))
+
+
 def median_incident(incidents: DataFrame) -> DataFrame:
-    """The incident in the middle when sorted by size, then id."""
-    n = incidents.agg(F.count("*").alias("n_all"))
-    bucket = F.struct("num_logs", F.floor(F.col("incident_id") / IDS_PER_BUCKET).alias("ids"))
-    ranked = global_row_number(incidents, bucket, [F.col("incident_id")], "place")
-    mid = ranked.join(F.broadcast(n), F.col("place") == F.floor(F.col("n_all") / 2) + 1)
-    return mid.select("incident_id", "block_id", "start_time", F.round("duration_seconds", 1).alias("duration_seconds"), "num_logs", "severity", F.array_join("components", ", ").alias("components"))
+    """The middle incident as it is shown."""
+    return middle_incident(incidents).select("incident_id", "block_id", "start_time", F.round("duration_seconds", 1).alias("duration_seconds"), "num_logs", "severity", F.array_join("components", ", ").alias("components"))
 
 
 def median_incident_logs(incidents: DataFrame, n: int = 5) -> DataFrame:
     """The first n logs of the middle incident and how many more it has. Takes nested incidents."""
-    pick = median_incident(incidents.drop("logs")).select("incident_id")
+    pick = middle_incident(incidents.select("incident_id", "num_logs")).select("incident_id")
     chosen = incidents.join(F.broadcast(pick), "incident_id")
     more = F.greatest(F.size("logs") - n, F.lit(0))
     rows = chosen.select("incident_id", more.alias("more"), F.posexplode(F.slice("logs", 1, n)).alias("pos", "log"))
@@ -124,6 +132,12 @@ def severity_colors(incidents: DataFrame) -> DataFrame:
 
 
 def distinct_blocks(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("block_id") != "").agg(F.count_distinct("block_id").alias("n_blocks"))
+    """Blocks are made distinct before and after the shuffle, then counted."""
+    return parsed.filter(F.col("block_id") != "").select("block_id").distinct().agg(F.count("*").alias("n_blocks"))
 
 
+def chunk_logs(chunks: DataFrame, pick: DataFrame, n: int = 5) -> DataFrame:
+    """The first n logs of the picked incidents (incident_id, num_logs), and how many more each has. Takes chunked incidents."""
+    first = chunks.filter("chunk = 0").join(F.broadcast(pick.select("incident_id", "num_logs")), "incident_id")  # the picked ones, few
+    rows = first.select("incident_id", F.greatest(F.col("num_logs") - n, F.lit(0)).cast("int").alias("more"), F.posexplode(F.slice("logs", 1, n)).alias("pos", "log"))
+    return rows.select("incident_id", (F.col("pos") + 1).alias("place"), "log.level", F.substring("log.message", 1, 80).alias("message_start"), "more")

@@ -12,7 +12,7 @@ from emberlog.operators import incidents as I
 from emberlog.operators import parse as P
 from emberlog.operators import profile as R
 from emberlog.schema import INCIDENT
-from emberlog.session import shared_path, table
+from emberlog.session import shared_path, stored, table
 from emberlog.sources import lines_from_events, read_records_json, write_json_lines
 
 MINUTES = 1440
@@ -36,11 +36,27 @@ def incidents(spark: SparkSession, sf_dir: str, minutes: int = MINUTES, nested:
     return I.group_incidents(records(spark, sf_dir), minutes, nested)
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.unnumbered_incidents(records(spark, sf_dir), MINUTES)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of incidents from chunks of 16."""
+    chunks = I.incidents_in_chunks(records(spark, sf_dir), MINUTES, 16)[1]
+    logs = chunks.select("incident_id", F.inline("logs"))
+    return logs.select("incident_id", "line_number", "timestamp", "message")
+
+
+def _middle_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat, chunks = I.incidents_in_chunks(records(spark, sf_dir), MINUTES)
+    return R.chunk_logs(chunks, R.middle_incident(stored(flat.select("incident_id", "num_logs"), "incidents")))
+
+
 def flat_incidents(spark: SparkSession, sf_dir: str, minutes: int = MINUTES) -> DataFrame:
     return incidents(spark, sf_dir, minutes).withColumn("components", F.array_join("components", ","))
 
 
-def _grouped(spark: SparkSession, sf_dir: str, minutes: int = MINUTES, strategy: str = "stream") -> DataFrame:
+def _grouped(spark: SparkSession, sf_dir: str, minutes: int = MINUTES, strategy: str = "auto") -> DataFrame:
     logs = I.grouped_logs(records(spark, sf_dir), minutes, strategy)
     return logs.select("block_id", "line_number", "timestamp", F.date_format("anchor", "yyyy-MM-dd'T'HH:mm:ss").alias("anchor"))
 
@@ -62,6 +78,7 @@ def queries() -> dict[str, Query]:
     on_parsed = lambda f: lambda s, d: f(parsed(s, d))
     on_lines = lambda f: lambda s, d: f(lines(s, d))
     on_incidents = lambda f: lambda s, d: f(incidents(s, d))
+    on_unnumbered = lambda f: lambda s, d: f(unnumbered(s, d))
     return {
         "incidents": flat_incidents,
         "incidents_5min": lambda s, d: flat_incidents(s, d, 5),
@@ -72,24 +89,26 @@ def queries() -> dict[str, Query]:
         "block_extract": on_parsed(lambda p: p.select("line_number", "block_id")),
         "grouped_logs": _grouped,
         "grouped_logs_fold": lambda s, d: _grouped(s, d, strategy="fold"),
+        "grouped_logs_buckets": lambda s, d: _grouped(s, d, strategy="buckets"),
         "distinct_blocks": on_parsed(R.distinct_blocks),
         "incident_logs_nested": _nested,
-        "incident_stats": on_incidents(I.incident_stats),
-        "severity_distribution": on_incidents(I.severity_distribution),
+        "incident_chunks": _chunks,
+        "incident_stats": on_unnumbered(I.incident_stats),
+        "severity_distribution": on_unnumbered(I.severity_distribution),
         "dataset_overview": on_parsed(R.dataset_overview),
         "level_counts": on_parsed(lambda p: R.value_counts(p, "level")),
         "top_components": on_parsed(lambda p: R.value_counts(p, "component", 10)),
         "sample_logs": on_parsed(R.sample_logs),
         "incident_summary": on_incidents(R.incident_summary),
         "incident_head": on_incidents(lambda i: R.incident_summary(i, 10)),
-        "size_describe": on_incidents(lambda i: R.describe(i, "num_logs")),
-        "size_histogram": on_incidents(lambda i: R.histogram(i, "num_logs")),
-        "duration_histogram": on_incidents(lambda i: R.histogram(i, "duration_seconds")),
-        "mean_markers": on_incidents(R.mean_markers),
+        "size_describe": on_unnumbered(lambda i: R.describe(i, "num_logs")),
+        "size_histogram": on_unnumbered(lambda i: R.histogram(i, "num_logs")),
+        "duration_histogram": on_unnumbered(lambda i: R.histogram(i, "duration_seconds")),
+        "mean_markers": on_unnumbered(R.mean_markers),
         "failure_keywords": lambda s, d: R.failure_keywords(I.grouped_logs(records(s, d).select("block_id", "ts", "line_number", "message"), MINUTES)),
-        "median_incident": on_incidents(R.median_incident),
-        "median_incident_logs": lambda s, d: R.median_incident_logs(incidents(s, d, nested=True)),
-        "severity_color": on_incidents(R.severity_colors),
+        "median_incident": lambda s, d: R.median_incident(stored(incidents(s, d), "incidents")),
+        "median_incident_logs": _middle_logs,
+        "severity_color": on_unnumbered(R.severity_colors),
         "json_round_trip": _round_trip,
     }
 
@@ -170,10 +189,12 @@ def oracle_sql() -> dict[str, str]:
         "block_extract": _with("SELECT line_number, block_id FROM parsed"),
         "grouped_logs": _with(grouped, MINUTES),
         "grouped_logs_fold": _with(grouped, MINUTES),
+        "grouped_logs_buckets": _with(grouped, MINUTES),
         "distinct_blocks": _with("SELECT count(DISTINCT block_id) AS n_blocks FROM parsed"),
         "incident_logs_nested": _with(
             "SELECT incident_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY g.ts, g.line_number) AS INTEGER) AS place, g.line_number, g.message FROM grouped g JOIN incidents i ON i.block_id = g.block_id AND i.anchor = g.anchor", MINUTES
         ),
+        "incident_chunks": _with("SELECT incident_id, line_number, strftime(g.ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, message FROM grouped g JOIN incidents i ON i.block_id = g.block_id AND i.anchor = g.anchor", MINUTES),
         "incident_stats": _with(
             "SELECT count(*) AS total_incidents, CAST(sum(num_logs) AS BIGINT) AS total_logs, round(avg(num_logs), 6) AS avg_logs_per_incident, min(num_logs) AS min_logs_per_incident, max(num_logs) AS max_logs_per_incident, round(avg(duration_seconds), 6) AS avg_duration_seconds FROM incidents",
             MINUTES,

@@ -1,4 +1,4 @@
-"""Log sources: text files, JSON arrays of records, and lines rendered from the ``events`` table."""
+"""Log sources: text files, JSON records, and lines rendered from the ``events`` table."""
 
 from __future__ import annotations
 
@@ -6,27 +6,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.sources.arrays import read_json_array
+
 
 def read_log_text(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
     """Columns line_number (1-based over all physical lines) and value.
 
-    Lines are numbered by partition and place in it: a count per partition, one running sum over
-    the partitions, no shuffle of lines. One file; several files have no order among each other.
+    Files follow one another by path, the splits of a file by where they start. A count per split, a
+    running sum over the splits, and each line's place in its split give the numbers; lines are not
+    shuffled. Splits are a row each, as many as Spark has files and tasks.
     ``max_lines`` keeps the first so many physical lines; None or 0 means all.
     """
     if max_lines is not None and max_lines < 0:
         raise ValueError("max_lines must not be negative")
-    mark = F.monotonically_increasing_id()
-    lines = spark.read.text(path).select("value", F.shiftright(mark, 33).alias("part"), mark.bitwiseAND((1 << 33) - 1).alias("place"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lines.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    out = lines.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("place") + 1).cast("long").alias("line_number"), "value")
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("mark"))
+    before = Window.partitionBy(F.lit(0)).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("path", "block").agg(F.count("*").alias("lines"), F.min("mark").alias("first"))
+    offsets = counts.select("path", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    # A task may read several splits, one after the other; the first mark of each tells where it begins.
+    out = lines.join(F.broadcast(offsets), ["path", "block"]).select((F.col("before") + F.col("mark") - F.col("first") + 1).cast("long").alias("line_number"), "value")
     return out.filter(F.col("line_number") <= max_lines) if max_lines else out
 
 
 def read_records_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Records from a JSON array file or from JSON lines (a folder written by ``write_json_lines``)."""
-    return spark.read.schema(schema).json(path, multiLine=not path.rstrip("/").endswith(".jsonl"))
+    """Records from JSON array files, or from JSON lines where the path ends in .jsonl."""
+    if path.rstrip("/").endswith(".jsonl"):
+        return spark.read.schema(schema).json(path)
+    return read_json_array(spark, path, schema)
 
 
 def lines_from_events(events: DataFrame) -> DataFrame:

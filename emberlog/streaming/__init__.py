@@ -1,16 +1,6 @@
-"""Lines that keep arriving: the parser works on streams as it is."""
+"""Lines that keep arriving: parsed as they come, and grouped into incidents behind a watermark."""
 
-from __future__ import annotations
+from emberlog.streaming.incidents import stream_grouped
+from emberlog.streaming.parse import stream_parsed
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from emberlog.operators.parse import parse_lines
-
-
-def stream_parsed(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Parse new text files of a folder into Parquet, once each, then stop. Lines have no number there."""
-    lines = spark.readStream.text(source).select(F.lit(None).cast("long").alias("line_number"), "value")
-    out = parse_lines(lines).drop("line_number").writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-    return out.trigger(availableNow=True).start()
+__all__ = ["stream_grouped", "stream_parsed"]
