@@ -11,8 +11,9 @@ smallest name. Three steps follow.
 1. Symbols are counted. A window can only repeat if its symbol occurs twice.
 2. Windows filed under such symbols are compared by the hash of all their words, 128 bits with the
    symbol; all but the first, by (doc_id, start), are repeats. A run of texts compares its own windows
-   first and sends only the first of each to the shuffle by symbol, so a passage that stands in
-   many documents meets there once a run.
+   first: all but the first of each are repeats for sure and are dealt by their document, and only the
+   first goes to the shuffle by symbol. So a passage that stands in many documents meets there once a
+   run of ``RUN_BYTES``. Windows of symbols that most runs hold are dealt by their hash besides.
 3. Words covered by repeats are removed.
 
 A bit array of 16 bits a counted symbol carries them to the second scan, of ``MOST_BITS`` at most;
@@ -41,6 +42,9 @@ from emberlog.session import discard, stored
 WINDOW = 20
 ROUNDS = 3
 MOST_BITS = 1 << 28
+HOT_RUNS = 16  # runs that hold a symbol before its windows are dealt by hash
+HOT_SYMBOLS = 1 << 16
+PARTS = 64
 RUN_BYTES = 3 << 20  # texts worked on together; their arrays take some forty times as much
 _U = np.uint64
 _LEVEL = _U(62)
@@ -179,18 +183,20 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return out
 
 
-def _file(bits: np.ndarray):
+def _file(bits: np.ndarray, hot: np.ndarray):
     def grouped(b: pa.RecordBatch, begin: int, doc: np.ndarray, symbol: np.ndarray, start: np.ndarray, value: np.ndarray, late: bool) -> pa.RecordBatch:
-        """A row per text and symbol."""
-        order = np.lexsort((start, symbol, doc))
-        doc, symbol, start, value = doc[order], symbol[order], start[order], value[order]
-        at = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])])) if len(symbol) else np.zeros(0, np.int64)
+        """A row per text, symbol and part."""
+        part = np.where(np.isin(symbol, hot), (value >> _U(5)) % _U(PARTS), _U(0)).astype(np.int32)
+        order = np.lexsort((start, part, symbol, doc))
+        doc, symbol, part, start, value = doc[order], symbol[order], part[order], start[order], value[order]
+        new = (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(np.concatenate([[True], new])) if len(symbol) else np.zeros(0, np.int64)
         rows = pa.array(begin + doc[at])
-        columns = [b.column("doc_id").take(rows), b.column("mark").take(rows), pa.array(symbol[at].view(np.int64)), _ragged(start.astype(np.int32), at), _ragged(value.view(np.int64), at), pa.array(np.full(len(at), late))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "symbol", "starts", "hashes", "late"])
+        columns = [b.column("doc_id").take(rows), b.column("mark").take(rows), pa.array(symbol[at].view(np.int64)), pa.array(part[at]), _ragged(start.astype(np.int32), at), _ragged(value.view(np.int64), at), pa.array(np.full(len(at), late))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "symbol", "part", "starts", "hashes", "late"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per text and symbol that may repeat: starts and hashes of its windows. ``late``: the run has an earlier equal one; these are kept by text."""
+        """Per text and symbol that may repeat: starts and hashes of its windows. ``late``: the run has an earlier equal one; these are dealt by document, not by text, of which there may be many copies."""
         for b in batches:
             begin = 0
             for part in runs(b.column("text"), RUN_BYTES):
@@ -201,7 +207,8 @@ def _file(bits: np.ndarray):
                 start, key, value = start[may], key[may], value[may]
                 doc = np.searchsorted(bounds, start, "right") - 1
                 start -= bounds[doc]
-                rank = _ranks(b.column("doc_id").slice(begin, len(part)))[doc]
+                ids = b.column("doc_id").slice(begin, len(part))
+                rank = _ranks(ids)[doc]
                 order = np.lexsort((start, rank, value, key))
                 start, key, value, doc, rank = start[order], key[order], value[order], doc[order], rank[order]
                 if len(key):
@@ -210,33 +217,36 @@ def _file(bits: np.ndarray):
                     late = (rank != rank[lead]) | (start != start[lead])
                     yield grouped(b, begin, doc[~late], key[~late], start[~late], value[~late], False)
                     mark = b.column("mark").slice(begin, len(part)).to_numpy().view(_U)
-                    yield grouped(b, begin, doc[late], mark[doc[late]], start[late], np.zeros(int(late.sum()), _U), True)
+                    own = _mix(mark, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(_U))
+                    yield grouped(b, begin, doc[late], own[doc[late]], start[late], np.zeros(int(late.sum()), _U), True)
                 begin += len(part)
 
     return run
 
 
-def _repeated_bits(counts: DataFrame) -> np.ndarray:
-    """Bits of the symbols that occur twice or more; collected as at most MOST_BITS / 64 rows."""
-    often = stored(counts.groupBy("symbol").agg(F.sum("n").alias("n")).filter("n > 1").select("symbol"), "symbols")
-    size = min(max(1 << 16, 1 << (16 * often.count()).bit_length()), MOST_BITS)
+def _repeated_bits(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the symbols that occur twice or more, collected as at most MOST_BITS / 64 rows; and those that most runs hold, at most HOT_SYMBOLS."""
+    often = stored(counts.groupBy("symbol").agg(F.sum("n").alias("n")).filter("n > 1").select("symbol", "n"), "symbols")
+    n, total = often.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = min(max(1 << 16, 1 << (16 * n).bit_length()), MOST_BITS)
     slot = F.expr(f"(symbol ^ shiftrightunsigned(symbol, 31)) & {size - 1}")
     words_ = often.select(slot.alias("slot")).groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[words_.column("word").to_numpy()] = words_.column("bits").to_numpy()
+    hot = often.filter(F.col("n") > max(HOT_RUNS, total // HOT_SYMBOLS)).select("symbol").toArrow().column("symbol").to_numpy()
     discard(often)
-    return out.view(np.uint8)
+    return out.view(np.uint8), np.sort(hot).view(_U)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), starts: where the document's repeated windows begin, in order."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).filter(F.col("text").isNotNull())
-    bits = _repeated_bits(rows.select("text").mapInArrow(_count, "symbol long, n int"))
-    windows = rows.mapInArrow(_file(bits), "doc_id long, mark long, symbol long, starts array<int>, hashes array<long>, late boolean")
-    each = windows.repartition("symbol").select("doc_id", "mark", "symbol", "late", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
-    flat = each.select("doc_id", "mark", "symbol", "late", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
-    place = F.rank().over(Window.partitionBy("symbol", "late", "hash").orderBy("doc_id", "start"))
+    bits, hot = _repeated_bits(rows.select("text").mapInArrow(_count, "symbol long, n int"))
+    windows = rows.mapInArrow(_file(bits, hot), "doc_id long, mark long, symbol long, part int, starts array<int>, hashes array<long>, late boolean")
+    each = windows.repartition("symbol", "part").select("doc_id", "mark", "symbol", "part", "late", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
+    flat = each.select("doc_id", "mark", "symbol", "part", "late", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
+    place = F.rank().over(Window.partitionBy("symbol", "part", "late", "hash").orderBy("doc_id", "start"))
     late = flat.withColumn("place", place).filter("late OR place > 1")
     return late.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
@@ -253,12 +263,15 @@ def _kept(w, starts):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with n_words, n_removed and kept_text (kept words joined by one space)."""
     kept = docs.drop("n_words", "n_removed", "kept_text")
-    found = repeats(kept).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "starts")
     text = F.col("text").cast("string")
-    joined = kept.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    others = [c for c in kept.columns if c.lower() != "text"]
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    found = repeats(rows).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "starts")
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left")
     none = F.array().cast("array<int>")
-    result = let(words(text), lambda w: let(let(F.coalesce("starts", none), lambda s: _kept(w, s)), lambda k: F.struct(F.size(w).cast("long").alias("n_words"), (F.size(w) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, " ").alias("kept_text"))))
-    return joined.withColumn("_r", result).select(*kept.columns, "_r.n_words", "_r.n_removed", "_r.kept_text")
+    result = let(words(F.col("text")), lambda w: let(let(F.coalesce("starts", none), lambda s: _kept(w, s)), lambda k: F.struct(F.size(w).cast("long").alias("n_words"), (F.size(w) - F.size(k)).cast("long").alias("n_removed"), F.array_join(k, " ").alias("kept_text"))))
+    own = [F.col("text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`") for c in kept.columns]
+    return joined.withColumn("_r", result).select(*own, "_r.n_words", "_r.n_removed", "_r.kept_text")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

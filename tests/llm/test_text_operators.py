@@ -311,6 +311,29 @@ def test_language_odd_cases(docs):
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
 
 
+def test_repeats_keep_columns_of_any_name(spark):
+    """Names of the operator's own columns, and one with a dot."""
+    names = ["_mark", "_id", "starts", "_row", "_r", "mark", "part", "a.b"]
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(2, text), (1, text), (3, None)], "doc_id long, text string").select("*", *[F.lit("own").alias(n) for n in names])
+    got = {r["doc_id"]: r for r in substrings.without_repeats(docs).collect()}
+    assert substrings.without_repeats(docs).columns == [*docs.columns, "n_words", "n_removed", "kept_text"]
+    assert all(r[n] == "own" for r in got.values() for n in names)
+    assert [(got[i]["kept_text"], got[i]["text"]) for i in (1, 2, 3)] == [(text, text), ("", text), ("", None)]
+
+
+def test_repeats_of_one_text_have_no_hot_key(spark):
+    """2,000 copies of a text: their windows are dealt by document, and those that most runs share by hash."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("mark"), F.lit(text).alias("text")).repartition(40)
+    bits, hot = substrings._repeated_bits(rows.select("text").mapInArrow(substrings._count, "symbol long, n int"))
+    windows = rows.mapInArrow(substrings._file(bits, hot), "doc_id long, mark long, symbol long, part int, starts array<int>, hashes array<long>, late boolean")
+    per = [r["n"] for r in windows.groupBy("symbol", "part").agg(F.sum(F.size("starts")).alias("n")).collect()]
+    assert len(hot) > 3 and sum(per) == 2000 * 181 and max(per) < sum(per) / 500
+    got = substrings.dedup(rows.drop("mark")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(0, 0), *((i, 200) for i in range(1, 2000))]
+
+
 def test_mixing_stays_within_a_block(table_docs):
     weights = {s: w for s, w in zip(sorted({r["source"] for r in table_docs.collect() if r["source"]}), (0.5, 0.2, 0.2, 0.1, 0.05, 0.05), strict=False)}
     rows = mixing.mix(table_docs, weights, block_bytes=2048, period=64).orderBy("mix_position").collect()
