@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source line up in a hashed order and are cut into blocks of ``block_bytes``. With the
-weight w of its source, block k may not start before slot floor(k / w) and must start before slot
-ceil((k + 1) / w); each slot goes to the released block with the earliest deadline. Every source is
-then less than one block away from its share at every slot, as long as it lasts; slots of a source
-that has run out stay empty. No document is dropped or repeated.
-
-Weights are whole numbers of slots in a period, so the schedule of one period is all there is to
-compute: a fold in one row, whose work is the period times the number of sources, at most four times
-its square, whatever the documents. It suits thousands of sources. Native expressions only.
+Documents of a source line up in a hashed order and are cut into blocks. With the weight w of its source,
+as a share of all weights, block k may not start before slot floor(k / w) and must start before slot
+ceil((k + 1) / w); each slot goes to the released block with the earliest deadline. Every source is then
+less than one block away from its share at every slot, as long as it lasts; slots that nobody may take,
+because sources have run out, stay empty. No document is dropped or repeated.
+
+Weights are whole multiples of 2^-40 of their sum, and at least one; releases and deadlines are computed
+in whole numbers for each block, so nothing drifts, whatever the weights. A block has ``block_bytes``, or
+more where the corpus would give more than ``MOST_BLOCKS``: the schedule is a fold in one row over all
+blocks, whose work is their number times that of the sources. It suits hundreds of sources. Documents meet the
+schedule in a join by source and block. Native expressions only.
 
 A null source is a source of its own; a null text has no bytes and counts as one byte. Repeated rows
 stay. Other columns pass through; those that ``mix`` adds replace columns of their names. An empty
@@ -24,21 +26,21 @@ from emberlog.functions.ranking import offset_by_bucket
 from emberlog.llm.words import let
 from emberlog.session import stored
 
-PERIOD = 1024
 BLOCK_BYTES = 16 << 10
+MOST_BLOCKS = 1 << 17
+SCALE = 1 << 40
 EXPONENT = 0.7
 BUCKETS = 1024
-SLOTS_PER_BUCKET = 512
+RUN = 512  # blocks whose documents are counted together
 FOLD = 64  # slots between two copies of the schedule so far
 ADDED = ["mix_source", "mix_bytes", "mix_block", "mix_slot", "mix_position"]
 
 
-def shares(sizes: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, period: int = PERIOD) -> DataFrame:
-    """Slots of each source in a period (at least one): mix_source, slots, period.
+def shares(sizes: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """weight (a multiple of 1 / all), all, blocks and block_bytes of each source.
 
     ``sizes``: mix_source and total bytes, one row per source. Without ``weights`` a source counts as
-    its bytes to the power ``exponent``; a source not in ``weights`` gets one slot. With more sources
-    than a quarter of ``period``, the period is four slots a source.
+    its bytes to the power ``exponent``; a source not in ``weights`` has the least weight that there is.
     """
     if weights is None:
         weight = F.pow(F.greatest(F.col("bytes"), F.lit(1)), F.lit(exponent))
@@ -47,50 +49,67 @@ def shares(sizes: DataFrame, weights: dict[str, float] | None = None, exponent:
         for name, w in weights.items():
             weight = F.when(F.col("mix_source") == name, float(w)).otherwise(weight)
     every = Window.partitionBy(F.lit(0))  # a row per source
-    w = sizes.withColumn("weight", weight).withColumn("n", F.count("*").over(every)).withColumn("all", F.sum("weight").over(every))
-    w = w.withColumn("period", F.greatest(F.lit(period), 4 * F.col("n")).cast("long"))
-    ideal = F.when(F.col("all") > 0, F.col("weight") / F.col("all")).otherwise(1 / F.col("n")) * (F.col("period") - F.col("n"))
-    w = w.withColumn("ideal", ideal).withColumn("floor", F.floor("ideal"))
-    left = F.col("period") - F.col("n") - F.sum("floor").over(every)
-    first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("floor") - F.col("ideal")), "mix_source"))
-    return w.withColumn("left", left).withColumn("first", first).select("mix_source", (1 + F.col("floor") + F.when(F.col("first") <= F.col("left"), 1).otherwise(0)).cast("long").alias("slots"), "period")
+    w = sizes.withColumn("_weight", weight).withColumn("_sum", F.sum("_weight").over(every))
+    share = F.when(F.col("_sum") > 0, F.col("_weight") / F.col("_sum")).otherwise(1 / F.count("*").over(every))
+    w = w.withColumn("weight", F.greatest(F.round(share * SCALE), F.lit(1)).cast("long"))
+    w = w.withColumn("all", F.sum("weight").over(every))
+    w = w.withColumn("block_bytes", F.greatest(F.lit(block_bytes), F.ceil(F.sum("bytes").over(every) / MOST_BLOCKS)).cast("long"))
+    return w.select("mix_source", "weight", "all", F.ceil(F.col("bytes") / F.col("block_bytes")).cast("long").alias("blocks"), "block_bytes")
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
 
 
 def schedule(share: DataFrame) -> DataFrame:
-    """One period, earliest deadline first: mix_source, slots, period, turn (of the source's slots), slot."""
-    sources = share.agg(F.sort_array(F.collect_list(F.struct("mix_source", "slots"))).alias("s"), F.max("period").alias("period"))
+    """All blocks of all sources, earliest deadline first: mix_source, mix_block, mix_slot and mix_rank (0, 1, ... without the empty slots)."""
+    sources = share.agg(F.sort_array(F.collect_list(F.struct("mix_source", "weight", "blocks"))).alias("s"), F.max("all").alias("all"), F.sum("blocks").alias("n"))
+
+    def block(k: Column, i: Column) -> Column:
+        """Of source i: what is compared comes first."""
+        w, all_ = F.get("s", i)["weight"], F.col("all")
+        return F.struct(_div((k + 1) * all_ + w - 1, w).alias("due"), i.alias("i"), _div(k * all_, w).alias("release"), k.alias("k"))
 
-    def step(acc: Column, t: Column, s: Column, period: Column) -> Column:
-        """acc: blocks begun per source, and the sources of the slots so far."""
+    def step(acc: Column) -> Column:
+        """acc: the next slot, the next block of each source that has one, and the blocks of the slots so far."""
+        now = F.greatest(acc["t"], F.array_min(F.transform(acc["next"], lambda x: x["release"])))
 
-        def claim(x: Column, i: Column) -> Column:
-            k, q = F.get(acc["begun"], i), x["slots"]
-            released = F.floor(k * period / q) <= t
-            deadline = -F.floor(-((k + 1) * period) / q)
-            return F.when(released, F.struct(deadline.alias("deadline"), i.alias("i")))
+        def taken(t: Column) -> Column:
+            best = F.array_min(F.filter(acc["next"], lambda x: x["release"] <= t))
 
-        best = F.array_min(F.filter(F.transform(s, claim), lambda c: c.isNotNull()))["i"]
-        return let(best, lambda b: F.struct(F.transform(acc["begun"], lambda k, i: k + F.when(i == b, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("begun"), F.concat(acc["picks"], F.array(b)).alias("picks")))
+            def after(b: Column) -> Column:
+                k = b["k"] + 1
+                rest = F.filter(acc["next"], lambda x: x["i"] != b["i"])
+                more = F.when(k < F.get("s", b["i"])["blocks"], F.array(block(k, b["i"]))).otherwise(F.filter(rest, lambda x: F.lit(False)))
+                return F.struct((t + 1).alias("t"), F.concat(rest, more).alias("next"), F.concat(acc["picks"], F.array(F.struct(b["i"].alias("i"), b["k"].alias("k"), t.alias("slot")))).alias("picks"))
 
-    none = F.array().cast("array<int>")
+            return let(best, after)
+
+        return let(now, taken)
+
+    none = F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>")
     longs = lambda a, z, by=1: F.sequence(a, z, F.lit(by).cast("long"))
 
     def some(acc: Column, t: Column) -> Column:
-        """FOLD slots from t on, at most to the end of the period."""
-        begin = F.struct(acc["begun"].alias("begun"), none.alias("picks"))
-        own = F.aggregate(longs(t, F.least(t + (FOLD - 1), F.col("period") - 1)), begin, lambda a, t: step(a, t, F.col("s"), F.col("period")))
-        return let(own, lambda o: F.struct(o["begun"].alias("begun"), F.concat(acc["runs"], F.array(o["picks"])).alias("runs")))
+        """FOLD slots, at most all that are left."""
+        begin = F.struct(acc["t"].alias("t"), acc["next"].alias("next"), none.alias("picks"))
+        own = F.aggregate(longs(t, F.least(t + (FOLD - 1), F.col("n") - 1)), begin, lambda a, _: step(a))
+        return let(own, lambda o: F.struct(o["t"].alias("t"), o["next"].alias("next"), F.concat(acc["runs"], F.array(o["picks"])).alias("runs")))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("t"), F.transform("s", lambda x, i: block(F.lit(0).cast("long"), i)).alias("next"), F.array().cast("array<array<struct<i:int,k:bigint,slot:bigint>>>").alias("runs"))
+    picks = F.flatten(F.aggregate(longs(zero, F.col("n") - 1, FOLD), start, some)["runs"])
+    rows = sources.filter("n > 0").select("s", F.posexplode(picks).alias("rank", "b"))
+    return rows.select(F.get("s", F.col("b")["i"])["mix_source"].alias("mix_source"), F.col("b")["k"].alias("mix_block"), F.col("b")["slot"].alias("mix_slot"), F.col("rank").alias("mix_rank"))
+
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("begun"), F.array().cast("array<array<int>>").alias("runs"))
-    picks = F.flatten(F.aggregate(longs(F.lit(0).cast("long"), F.col("period") - 1, FOLD), start, some)["runs"])
-    folded = sources.filter(F.size("s") > 0).select("s", "period", picks.alias("picks"))
-    rows = folded.select("s", "period", F.posexplode("picks").alias("slot", "i"))
-    named = rows.select(F.get("s", F.col("i"))["mix_source"].alias("mix_source"), F.get("s", F.col("i"))["slots"].alias("slots"), "period", F.col("slot").cast("long").alias("slot"))
-    return named.withColumn("turn", (F.row_number().over(Window.partitionBy("mix_source").orderBy("slot")) - 1).cast("long"))
+def _sides(plan: DataFrame) -> DataFrame:
+    """For a join: broadcast where it has no more than the blocks that a schedule may have and a few for the ends of sources."""
+    return F.broadcast(plan) if plan.count() <= 2 * MOST_BLOCKS else plan
 
 
-def slots(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, columns: list[str] | None = None) -> DataFrame:
-    """_row (the document's own columns, or those of ``columns``), _id, mix_source, mix_bytes, mix_block, mix_slot and _from, the bytes of the source before the document.
+def slots(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, columns: list[str] | None = None) -> DataFrame:
+    """_row (the document's own columns, or those of ``columns``), _id, mix_source, mix_bytes, mix_block, mix_slot, mix_rank and _from, the bytes of the source before the document.
 
     The running sum of bytes in a source is taken in ``BUCKETS`` hashed parts, so a source that holds
     most rows is spread over as many tasks.
@@ -103,31 +122,31 @@ def slots(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes:
 
     narrow = stored(sized.groupBy("mix_source", "_bucket").agg(F.sum("mix_bytes").alias("bytes")), "sizes")
     named = {f"s:{k}": v for k, v in weights.items()} if weights is not None else None
-    plan = stored(schedule(shares(narrow.groupBy("mix_source").agg(F.sum("bytes").alias("bytes")), named, period=period)), "plan")
-    per_source = plan.groupBy("mix_source").agg(F.max("slots").alias("slots"), F.max("period").alias("period"))
-    offsets = offset_by_bucket(narrow, "_bucket", F.col("bytes"), ["mix_source"]).join(per_source, "mix_source")
+    share = stored(shares(narrow.groupBy("mix_source").agg(F.sum("bytes").alias("bytes")), named, block_bytes=block_bytes), "shares")
+    plan = stored(schedule(share), "plan")
+    offsets = offset_by_bucket(narrow, "_bucket", F.col("bytes"), ["mix_source"]).join(share.select("mix_source", "block_bytes"), "mix_source")
 
     before = Window.partitionBy("mix_source", "_bucket").orderBy("_mark", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_inside", F.coalesce(F.sum("mix_bytes").over(before), F.lit(0))).join(offsets, ["mix_source", "_bucket"])
-    placed = placed.withColumn("_from", F.col("bucket_offset") + F.col("_inside")).withColumn("mix_block", F.floor(F.col("_from") / block_bytes).cast("long"))
-    # A row per slot of the period; a source that holds most rows meets it in as many keys as it has slots.
-    in_slots = placed.withColumn("turn", F.pmod("mix_block", "slots")).join(plan.select("mix_source", "turn", "slot"), ["mix_source", "turn"])
-    slot = F.floor(F.col("mix_block") / F.col("slots")) * F.col("period") + F.col("slot")
-    return in_slots.withColumn("mix_slot", slot.cast("long")).select("_row", "_id", "mix_source", "mix_bytes", "mix_block", "mix_slot", "_from")
+    placed = placed.withColumn("_from", F.col("bucket_offset") + F.col("_inside")).withColumn("mix_block", _div(F.col("_from"), F.col("block_bytes")))
+    met = placed.join(_sides(plan), ["mix_source", "mix_block"])
+    return met.select("_row", "_id", "mix_source", "mix_bytes", "mix_block", "mix_slot", "mix_rank", "_from")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, period: int = PERIOD, columns: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, columns: list[str] | None = None) -> DataFrame:
     """Adds mix_source, mix_bytes, mix_block (of the source), mix_slot and mix_position (0, 1, ... in the mixed order); ``columns`` names the own columns to carry, all without it."""
     kept = [c for c in columns or docs.columns if c.lower() not in ADDED]
-    return _position(slots(docs, weights, block_bytes, period, kept)).select("_row.*", *ADDED)
+    return _position(slots(docs, weights, block_bytes, kept)).select("_row.*", *ADDED)
 
 
 def _position(slotted: DataFrame) -> DataFrame:
-    """A count per run of slots, then the place inside the run."""
-    tagged = slotted.withColumn("_run", F.floor(F.col("mix_slot") / SLOTS_PER_BUCKET))
-    offsets = offset_by_bucket(tagged, "_run", F.lit(1))
-    inside = F.row_number().over(Window.partitionBy("_run").orderBy("mix_slot", "_from", "_id"))
-    return tagged.withColumn("_place", inside).join(offsets, "_run").withColumn("mix_position", (F.col("bucket_offset") + F.col("_place") - 1).cast("long")).drop("_run", "_place", "bucket_offset")
+    """Counts per run of blocks, then per block of a run, then the place inside the block; all but the last are at most ``MOST_BLOCKS`` rows and a few."""
+    counts = stored(slotted.groupBy("mix_rank").agg(F.count("*").alias("rows")).withColumn("run", F.floor(F.col("mix_rank") / RUN)), "blocks")
+    upto = Window.partitionBy("run").orderBy("mix_rank").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("inside", F.coalesce(F.sum("rows").over(upto), F.lit(0))).join(offset_by_bucket(counts, "run", F.col("rows")), "run")
+    place = F.row_number().over(Window.partitionBy("mix_rank").orderBy("_from", "_id"))
+    before = _sides(offsets.select("mix_rank", (F.col("bucket_offset") + F.col("inside")).alias("_before")))
+    return slotted.withColumn("_place", place).join(before, "mix_rank").withColumn("mix_position", (F.col("_before") + F.col("_place") - 1).cast("long"))
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -334,50 +334,65 @@ def test_repeats_of_one_text_have_no_hot_key(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(0, 0), *((i, 200) for i in range(1, 2000))]
 
 
-def test_mixing_stays_within_a_block(table_docs):
-    weights = {s: w for s, w in zip(sorted({r["source"] for r in table_docs.collect() if r["source"]}), (0.5, 0.2, 0.2, 0.1, 0.05, 0.05), strict=False)}
-    rows = mixing.mix(table_docs, weights, block_bytes=2048, period=64).orderBy("mix_position").collect()
-    assert [r["mix_position"] for r in rows] == list(range(table_docs.count()))
-    share = {r["mix_source"]: (r["slots"], r["period"]) for r in mixing.shares(mixing.slots(table_docs).groupBy("mix_source").agg({"mix_bytes": "sum"}).withColumnRenamed("sum(mix_bytes)", "bytes"), {f"s:{k}": v for k, v in weights.items()}, period=64).collect()}
-    used: dict[str, dict[int, set]] = {}
-    for r in rows:
-        used.setdefault(r["mix_source"], {}).setdefault(r["mix_slot"], set()).add(r["mix_block"])
-    for source, slots in used.items():
-        assert all(len(b) == 1 for b in slots.values())
-        q, period = share[source]
-        for slot, blocks in slots.items():
-            k = min(blocks)
-            assert k * period // q <= slot < -(-((k + 1) * period) // q)
-
-
-def test_mixing_against_earliest_deadlines(spark):
-    """Shares, the schedule of a period, blocks, slots and the order, against plain Python."""
+def deadlines(weights: list[int], blocks: list[int], n: int) -> list[tuple[int, int, int]]:
+    """The first n blocks in the order of plain earliest deadlines: source, block, slot."""
+    all_, k, t, out = sum(weights), [0] * len(weights), 0, []
+    while len(out) < n and any(a < b for a, b in zip(k, blocks, strict=True)):
+        left = [i for i, b in enumerate(blocks) if k[i] < b]
+        t = max(t, min(k[i] * all_ // weights[i] for i in left))
+        due, i = min((-(-(k[i] + 1) * all_ // weights[i]), i) for i in left if k[i] * all_ // weights[i] <= t)
+        assert t < due
+        out.append((i, k[i], t))
+        k[i] += 1
+        t += 1
+    return out
+
+
+def test_schedule_of_exact_weights(spark):
+    """100,000 slots of weights that no period fits: each source is less than one block from its share at each slot."""
+    weights = {"a": 0.3, "b": 1 / 7, "c": 0.00001, "d": 1 - 0.3 - 1 / 7 - 0.00001}
+    sizes = spark.createDataFrame([(s, 10**5) for s in weights], "mix_source string, bytes long")
+    share = mixing.shares(sizes, weights, block_bytes=1).withColumn("blocks", F.greatest(F.ceil(F.lit(100_000) * F.col("weight") / F.col("all")), F.lit(1)).cast("long"))
+    rows = mixing.schedule(share).orderBy("mix_rank").collect()
+    exact = {r["mix_source"]: r["weight"] for r in share.collect()}
+    all_ = sum(exact.values())
+    assert all(abs(exact[s] / all_ - w) < 1e-11 for s, w in weights.items())
+    names = sorted(weights)
+    want = deadlines([exact[s] for s in names], [r["blocks"] for s in names for r in share.filter(F.col("mix_source") == s).collect()], len(rows))
+    assert [(r["mix_source"], r["mix_block"], r["mix_slot"]) for r in rows] == [(names[i], k, t) for i, k, t in want]
+    done = dict.fromkeys(names, 0)
+    for r in rows[:99_000]:
+        done[r["mix_source"]] += 1
+        assert r["mix_slot"] == r["mix_rank"]
+        assert all(abs(done[s] * all_ - exact[s] * (r["mix_slot"] + 1)) < all_ for s in names), "of the weights as they are, in whole numbers"
+        assert all(abs(done[s] - weights[s] * (r["mix_slot"] + 1)) < 1 + 1e-6 for s in names), "of the weights as they were given"
+
+
+def test_mixing_against_earliest_deadlines(spark, monkeypatch):
+    """Blocks, slots and the order, against plain Python; a source without a weight comes last, and blocks grow where they would be too many."""
     rng = np.random.default_rng(4)
     rows = [(i, "x" * int(rng.integers(0, 400)), None if i % 11 == 0 else f"s{int(rng.integers(0, 5)) if i % 3 else 0}") for i in range(400)]
-    weights, period, block = {"s0": 0.5, "s1": 0.25, "s2": 0.1, "s4": 0.05}, 100, 1000
+    weights = {"s0": 0.5, "s1": 0.25, "s2": 0.1, "s4": 0.05, "absent": 0.3}
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    got = {r["doc_id"]: r for r in mixing.mix(docs, weights, block, period).withColumn("mark", F.xxhash64("doc_id", "text")).collect()}
     names = sorted({r[2] is None and "null" or f"s:{r[2]}" for r in rows})
-    share = [weights.get(x[2:], 0.0) / sum(weights.values()) * (period - len(names)) for x in names]
-    left = period - len(names) - sum(int(x) for x in share)
-    more = sorted(range(len(names)), key=lambda i: (int(share[i]) - share[i], names[i]))[:left]
-    q = [1 + int(x) + (i in more) for i, x in enumerate(share)]
-    begun, turns = [0] * len(names), {x: [] for x in names}
-    for t in range(period):
-        due, i = min((-(-((k + 1) * period) // q[i]), i) for i, k in enumerate(begun) if k * period // q[i] <= t)
-        assert t < due
-        begun[i] += 1
-        turns[names[i]].append(t)
-    order = []
-    for i, name in enumerate(names):
-        at = 0
-        own = [r for r in rows if (r[2] is None and "null" or f"s:{r[2]}") == name]
-        for d, text, _ in sorted(own, key=lambda r: (got[r[0]]["mark"] % mixing.BUCKETS, got[r[0]]["mark"], r[0])):
-            k = at // block
-            assert (got[d]["mix_block"], got[d]["mix_slot"]) == (k, k // q[i] * period + turns[name][k % q[i]])
-            order.append((got[d]["mix_slot"], at, d))
-            at += max(len(text), 1)
-    assert [d for _, _, d in sorted(order)] == sorted(got, key=lambda d: got[d]["mix_position"])
+    size = {x: sum(max(len(t), 1) for _, t, s in rows if (s is None and "null" or f"s:{s}") == x) for x in names}
+    for most in (1 << 17, 40):
+        monkeypatch.setattr(mixing, "MOST_BLOCKS", most)
+        got = {r["doc_id"]: r for r in mixing.mix(docs, weights, 1000).withColumn("mark", F.xxhash64("doc_id", "text")).collect()}
+        block = max(1000, -(-sum(size.values()) // most))
+        known = sum(weights.get(x[2:], 0.0) for x in names)
+        whole = [max(1, round(weights.get(x[2:], 0.0) / known * mixing.SCALE)) for x in names]
+        slot = {(names[i], k): t for i, k, t in deadlines(whole, [-(-size[x] // block) for x in names], 1 << 30)}
+        order = []
+        for name in names:
+            at = 0
+            own = [r for r in rows if (r[2] is None and "null" or f"s:{r[2]}") == name]
+            for d, text, _ in sorted(own, key=lambda r: (got[r[0]]["mark"] % mixing.BUCKETS, got[r[0]]["mark"], r[0])):
+                assert (got[d]["mix_block"], got[d]["mix_slot"]) == (at // block, slot[name, at // block])
+                order.append((got[d]["mix_slot"], at, d))
+                at += max(len(text), 1)
+        assert [d for _, _, d in sorted(order)] == sorted(got, key=lambda d: got[d]["mix_position"])
+        assert sorted(r["mix_position"] for r in got.values()) == list(range(400))
 
 
 @pytest.mark.parametrize("frame", [documents, clashing])
