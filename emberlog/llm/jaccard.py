@@ -422,7 +422,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated = judged.filter("kept")
     if not repeated.isEmpty():
         out = joined(out, repeated, "left_anti").unionByName(joined(out, repeated, "left_semi").dropDuplicates(["doc_id", own]))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 COMPONENTS_SQL = r"""

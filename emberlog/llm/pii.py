@@ -323,7 +323,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``n_chars`` follows the new text. Null texts stay null.
     """
-    marked = with_spans(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model)
+    marked = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), model)
     # A span opens a replacement if it begins at or after all ends before it.
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<gap:int,start:int,stop:int,rank:int>>").alias("out"))
 
@@ -341,4 +341,4 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     replaced = {"text": new}
     if "n_chars" in docs.columns:
         replaced["n_chars"] = F.when(F.size("pii") > 0, F.char_length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return marked.select(*[replaced.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns])
+    return marked.select(*[replaced.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

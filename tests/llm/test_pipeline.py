@@ -72,7 +72,7 @@ def test_run_on_odd_rows(spark, tmp_path):
     """Nulls, repeated rows, unlike texts of one id, columns with the stages' own names, and an empty table."""
     text = lambda x: " ".join(f"{x}{'abcdefghij'[k % 10]} of{x} the{k}" for k in range(12)).replace("0", "o")
     ids = [(1, None), (2, ""), (None, text("n")), (3, text("w")), (7, text("w")), (7, text("u")), (9, text("v")), (9, text("v")), (10, text("v") + " more")]
-    names = ["_words", "_lines", "n_words", "kept", "_row", "_key", "mix_slot", "pii", "part", "key"]
+    names = ["_words", "_lines", "n_words", "kept", "_row", "_key", "mix_slot", "pii", "part", "key", "a.b"]
     frame = spark.createDataFrame(ids, "doc_id long, text string").selectExpr("*", "'en' AS lang", "cast(null AS string) AS source", "cast(length(text) AS long) AS n_chars", *[f"'own' AS `{n}`" for n in names])
     for folder, rows in (("odd", frame), ("none", frame.limit(0))):
         rows.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
