@@ -14,8 +14,7 @@ cost nothing wherever they are, fill up the shards.
 The law is ``rows``: counts of two shards are at most one apart, whatever the groups' sizes.
 
 Null texts are empty and equal to each other and to empty texts. Repeated rows are documents of their
-own. Other columns pass through unless one has
-the name of an added column. An empty table gives an empty result.
+own. Other columns do not pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations

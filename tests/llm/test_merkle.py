@@ -64,9 +64,9 @@ def brute(rows) -> Counter:
     return out
 
 
-@pytest.fixture(params=["plain", "clashing", "table", "empty", "one"])
+@pytest.fixture(params=["clashing", "table", "empty"])
 def docs(request, spark, sf_dir):
-    return {"plain": documents, "clashing": clashing, "empty": lambda s: documents(s, []), "one": lambda s: documents(s, [(7, "a\nb", None, "x")])}.get(request.param, lambda s: s.read.parquet(f"{sf_dir}/documents.parquet"))(spark)
+    return {"clashing": clashing, "empty": lambda s: documents(s, [])}.get(request.param, lambda s: s.read.parquet(f"{sf_dir}/documents.parquet"))(spark)
 
 
 def wide(frame):

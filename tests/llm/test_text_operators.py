@@ -142,6 +142,30 @@ def test_pieces_of_random_texts(name):
     assert all(got.ids_of(i).tolist() == x for i, x in enumerate(wanted))
 
 
+def test_placement_by_sums_of_squares():
+    """Each remainder goes where the sum of the squared counts of partly filled windows comes out least; of equal ones to the fullest."""
+    window, rng = 24, np.random.default_rng(2)
+    packer, counts = packing.Packer(window, 0), [0] * window
+    for doc in range(600):
+        n = int(rng.integers(1, 60))
+        packer.add(doc, np.arange(n, dtype="<u4"))
+        r, best = n % window, None
+        if not r:
+            continue
+        for h in [0, *(h for h in range(1, window - r + 1) if counts[h])]:
+            after = counts.copy()
+            if h:
+                after[h] -= 1
+            if h + r < window:
+                after[h + r] += 1
+            cost = sum(x * x for x in after)
+            if best is None or cost <= best[0]:
+                best = cost, after
+        counts = best[1]
+        assert packer.counts[1:window].tolist() == counts[1:]
+    assert sum(counts) > 3
+
+
 def test_packing(docs, table_docs):
     from tokenizers import Tokenizer
 
