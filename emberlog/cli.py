@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import incidents as I
 from emberlog.operators import parse as P
 from emberlog.operators import profile as R
-from emberlog.schema import INCIDENT, PARSED_LOG
+from emberlog.schema import CHUNK, FLAT_INCIDENT, INCIDENT, PARSED_LOG
 from emberlog.session import stored
 from emberlog.sources import read_log_text, read_records_json, write_incident_array, write_incident_lines, write_json_array, write_json_lines
 
@@ -84,7 +84,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         print("Incident statistics\n" + json.dumps(stats.asDict() if stats else {}, indent=2))
         _show("First incident", flat.filter("incident_id = 1").withColumn("logs", F.concat(F.lit("["), F.col("num_logs").cast("string"), F.lit(" logs...]"))))
     else:
-        logs, found = read_records_json(spark, a.parsed, PARSED_LOG), read_records_json(spark, a.incidents, INCIDENT)
+        logs = read_records_json(spark, a.parsed, PARSED_LOG)
+        if a.incidents.endswith((".json", ".jsonl")):
+            found = read_records_json(spark, a.incidents, INCIDENT)
+            messages = found.select("block_id", F.col("incident_id").alias("anchor"), F.explode("logs.message").alias("message"))
+            middle = R.median_incident_logs(found)
+        else:
+            found, chunks = spark.read.schema(FLAT_INCIDENT).json(f"{a.incidents}/incidents"), spark.read.schema(CHUNK).json(f"{a.incidents}/logs")
+            messages = chunks.select(F.lit("").alias("block_id"), F.col("incident_id").alias("anchor"), F.explode("logs.message").alias("message"))
+            middle = R.chunk_logs(chunks, R.middle_incident(found))
         for title, df in (
             ("Overview", R.dataset_overview(logs)),
             ("Levels", R.value_counts(logs, "level")),
@@ -96,8 +104,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             ("Incidents by number of logs", R.histogram(found, "num_logs").orderBy("bin")),
             ("Incidents by duration", R.histogram(found, "duration_seconds").orderBy("bin")),
             ("Means", R.mean_markers(found)),
-            ("Failure keywords", R.failure_keywords(found.select("block_id", F.col("incident_id").alias("anchor"), F.explode("logs.message").alias("message")))),
-            ("Middle incident", R.median_incident_logs(found)),
+            ("Failure keywords", R.failure_keywords(messages)),
+            ("Middle incident", middle),
         ):
             _show(title, df)
 

@@ -28,3 +28,14 @@ INCIDENT = T.StructType(
         T.StructField("logs", T.ArrayType(PARSED_LOG)),
     ]
 )
+
+FLAT_INCIDENT = T.StructType(INCIDENT.fields[:-1])
+
+CHUNK = T.StructType(
+    [
+        T.StructField("incident_id", T.LongType()),
+        T.StructField("chunk", T.LongType()),
+        T.StructField("last", T.BooleanType()),
+        INCIDENT.fields[-1],
+    ]
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -274,6 +275,8 @@ def test_command_line(spark, log, tmp_path, capfd):
     cli.main(["group", parsed, f"{tmp_path}/folder"], spark)
     assert spark.read.json(f"{tmp_path}/folder/incidents").count() == 4
     shown = capfd.readouterr().out
+    cli.main(["profile", parsed, f"{tmp_path}/folder"], spark)
+    assert not Counter(capfd.readouterr().out.splitlines()) - Counter(shown.splitlines()), "chunks give the profile of nested incidents"
     assert "Created 4 incidents from 6 logs, 1.5 logs each" in shown and '"severity_distribution"' in shown and "blocks: 3" in shown
     assert "75.0%" in shown and "impossible" in shown and "Failure keywords" in shown and "2009-02-30T10:10:10" in shown
 
