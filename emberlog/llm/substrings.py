@@ -31,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,19 +58,49 @@ def _mix(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
+_BASES = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]  # odd, so they have inverses
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the bases, then those of their inverses."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        room = 1 << max(n, 2).bit_length()
+        inverses = [_U(pow(int(x), -1, 1 << 64)) for x in _BASES]
+        _POWERS[:] = [np.concatenate([np.ones(1, _U), np.cumprod(np.full(room, x, _U))]) for x in (*_BASES, *inverses)]
+    return _POWERS
+
+
+_BYTES = [_mix(np.arange(256, dtype=_U), _U(k)) for k in (1, 2)]
+
+
 def word_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all words of the texts, one text after another, and where each text begins (one more at the end)."""
-    flat = pc.utf8_trim(pc.replace_substring_regex(pc.fill_null(texts, ""), r"[\x09-\x0D ]+", " "), " ")
-    lists = pc.split_pattern(flat, " ")
-    coded = lists.flatten().dictionary_encode()
-    table = coded.dictionary.to_pylist()
-    names = np.fromiter((xxhash.xxh64_intdigest(w) for w in table), _U, len(table))[coded.indices.to_numpy()]
-    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    none = pc.equal(flat, "").to_numpy(zero_copy_only=False)
-    at = np.cumsum(sizes) - sizes
-    names = np.delete(names, at[none])
-    sizes[none] = 0
-    return names, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    """Names of all words of the texts, one text after another, and where each text begins (one more at the end).
+
+    A word's bytes are digits of two polynomials; sums over all texts up to each byte give those of a word as a difference.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    size, offsets = int(at[-1] - at[0]), at - at[0]
+    if not size:
+        return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(at[0]))
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.zeros(size + 1, bool)
+    edge[offsets] = True
+    before, after = np.ones(size, bool), np.ones(size, bool)
+    before[1:] = space[:-1]
+    after[:-1] = space[1:]
+    first = np.flatnonzero(~space & (before | edge[:-1]))
+    last = np.flatnonzero(~space & (after | edge[1:]))
+    powers, halves = _powers(size), []
+    for k in range(2):
+        sums = np.cumsum(_BYTES[k][data] * powers[k][:size])
+        total = sums[last]
+        total[first > 0] -= sums[first[first > 0] - 1]
+        halves.append(total * powers[2 + k][first])
+    names = _mix(_mix(halves[0], (last - first).astype(_U)), halves[1])
+    return names, np.searchsorted(first, offsets)
 
 
 def _window_hashes(h: np.ndarray) -> np.ndarray:
@@ -150,22 +179,34 @@ def _slots(key: np.ndarray, size: int) -> np.ndarray:
     return (key ^ (key >> _U(31))) & _U(size - 1)
 
 
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``some``."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+    return some[at] == values
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch and symbol: 1, or 2 if two texts or two places of a text hold it."""
     for b in batches:
         for part in runs(b.column("text"), RUN_BYTES):
             h, bounds = word_names(part)
             start, key, value = filed(h, bounds)
-            doc = np.searchsorted(bounds, start, "right")
-            order = np.lexsort((value, doc, key))
-            key, doc, value = key[order], doc[order], value[order]
             if not len(key):
                 continue
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            more = np.concatenate([[False], (key[1:] == key[:-1]) & ((doc[1:] != doc[:-1]) | (value[1:] == value[:-1]))])
-            at = np.flatnonzero(new)
-            n = 1 + np.minimum(np.add.reduceat(more.astype(np.int64), at), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(n, pa.int32())], ["symbol", "n"])
+            doc = np.searchsorted(bounds, start, "right")
+            order = np.argsort(key)
+            one, own = key[order], doc[order]
+            at = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+            often = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
+            # Windows that a text holds twice.
+            pair = _mix(key, value)
+            twice = np.sort(pair)
+            twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+            often[np.searchsorted(one[at], key[_among(pair, twice)])] = True
+            key, n = one[at], 1 + often
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int32())], ["symbol", "n"])
 
 
 def _ragged(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -183,12 +224,15 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return out
 
 
+def _tied(rank: np.ndarray, doc: np.ndarray) -> bool:
+    """Whether texts have equal ids."""
+    return bool(((rank[1:] == rank[:-1]) & (doc[1:] != doc[:-1])).any())
+
+
 def _file(bits: np.ndarray, hot: np.ndarray):
     def grouped(b: pa.RecordBatch, begin: int, doc: np.ndarray, symbol: np.ndarray, start: np.ndarray, value: np.ndarray, late: bool) -> pa.RecordBatch:
-        """A row per text, symbol and part."""
-        part = np.where(np.isin(symbol, hot), (value >> _U(5)) % _U(PARTS), _U(0)).astype(np.int32)
-        order = np.lexsort((start, part, symbol, doc))
-        doc, symbol, part, start, value = doc[order], symbol[order], part[order], start[order], value[order]
+        """A row per text, symbol and part, for each stretch of windows in the order of their starts."""
+        part = np.where(_among(symbol, hot), (value >> _U(5)) % _U(PARTS), _U(0)).astype(np.int32)
         new = (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
         at = np.flatnonzero(np.concatenate([[True], new])) if len(symbol) else np.zeros(0, np.int64)
         rows = pa.array(begin + doc[at])
@@ -209,12 +253,15 @@ def _file(bits: np.ndarray, hot: np.ndarray):
                 start -= bounds[doc]
                 ids = b.column("doc_id").slice(begin, len(part))
                 rank = _ranks(ids)[doc]
-                order = np.lexsort((start, rank, value, key))
-                start, key, value, doc, rank = start[order], key[order], value[order], doc[order], rank[order]
                 if len(key):
-                    new = np.concatenate([[True], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])
-                    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                    late = (rank != rank[lead]) | (start != start[lead])
+                    # Equal windows side by side, the first by (id, start) in front: as they are if ids ascend, else by sorting.
+                    pair = _mix(key, value)
+                    order = np.argsort(pair, kind="stable") if (rank[1:] >= rank[:-1]).all() and not _tied(rank, doc) else np.lexsort((start, rank, pair))
+                    k, v = key[order], value[order]
+                    new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+                    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                    late = np.empty(len(key), bool)
+                    late[order] = (rank[order] != rank[lead]) | (start[order] != start[lead])
                     yield grouped(b, begin, doc[~late], key[~late], start[~late], value[~late], False)
                     mark = b.column("mark").slice(begin, len(part)).to_numpy().view(_U)
                     own = _mix(mark, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(_U))
