@@ -22,7 +22,7 @@ from emberlog.operators import incidents as I
 from emberlog.operators import parse as P
 from emberlog.operators import profile as R
 from emberlog.schema import CHUNK, FLAT_INCIDENT, INCIDENT, PARSED_LOG
-from emberlog.session import stored
+from emberlog.session import clear, stored
 from emberlog.sources import read_log_text, read_records_json, write_incident_array, write_incident_lines, write_json_array, write_json_lines
 
 
@@ -108,6 +108,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             ("Middle incident", middle),
         ):
             _show(title, df)
+    clear(spark)
 
 
 if __name__ == "__main__":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as X
-from emberlog.session import shared_path
+from emberlog.session import kept_path
 
 
 def head_lines(lines: DataFrame, n: int | None) -> DataFrame:
@@ -57,7 +57,7 @@ def parse_once(lines: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """Records, rejects, and the numbers of lines: total_lines, parsed, failed. One scan: lines are written by kind and counted on the way."""
     seen = Observation()
     found = classified(lines).observe(seen, F.count("*").alias("total_lines"), F.count_if(F.col("kind") == "record").alias("parsed"))
-    path = shared_path(lines.sparkSession, "lines")
+    path = kept_path(lines.sparkSession, "lines")
     found.filter("kind <> 'blank'").write.partitionBy("kind").parquet(path)
     rows = lines.sparkSession.read.schema(found.schema).parquet(path)
     records = rows.filter("kind = 'record'").drop("kind", "ts")

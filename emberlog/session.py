@@ -34,9 +34,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return posixpath.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that ``clear`` removes."""
+    path = shared_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like ``checkpointed``, as Parquet: compressed, and later reads take only the columns they need."""
-    path = shared_path(df.sparkSession, name)
+    """Like ``checkpointed``, as Parquet: compressed, and later reads take only the columns they need. The files stay until ``discard`` or ``clear``."""
+    path = kept_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,5 +63,11 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has ``stored``; tables made from it can be read no more."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
