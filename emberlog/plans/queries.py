@@ -113,6 +113,7 @@ def queries() -> dict[str, Query]:
     }
 
 
+# Fixed values in the SQL below: the shape of a log line and of a block id, the rank of the levels, and the colours.
 _LINES = r"""
 lines AS (
   SELECT event_id + 1 AS line_number,
