@@ -217,7 +217,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """Excerpts of about 2 x ``rows`` labelled texts per language at most, not held out.
 
     Rows are chosen by the hash of the id, in proportion to a language's count, so the sample grows with
-    the number of languages and not with the input. Every language is learned.
+    the number of languages and not with the input. Every language has examples; how many the network can
+    tell apart is bounded by its fixed size (see README).
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
