@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.cuckoo import LOAD, SLOTS, Cuckoo
+from emberlog.llm.cuckoo import LOAD, Cuckoo
 from emberlog.llm.pieces import runs
 from emberlog.llm.words import sha256_utf8
 from emberlog.session import stored
