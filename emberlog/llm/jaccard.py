@@ -5,8 +5,8 @@ joined. Let o(n) = ceil(3n / 4): two linked sets of at most n shingles share at
 order of all shingles (here: of their hashes), the first n - o(n) + k shingles of each of two linked
 sets then share at least k.
 
-1. A scan writes for every class the longest prefix that it may need (``_longest``), and one shuffle by
-   shingle counts postings. A shingle that more than ``FREQUENT`` classes hold is frequent: it costs too
+1. A scan writes for every class the longest prefix that it may need (``_longest``). Postings are counted
+   per shingle, combined before they move, and the counts are joined back (``skew``). A shingle that more than ``FREQUENT`` classes hold is frequent: it costs too
    many candidates and is not indexed. A task that meets such a shingle often enough says so once and
    sends no postings of it, so no list in the shuffle grows with a common passage.
 2. Every class lengthens its prefix by its cost: with c frequent shingles in it, k is c + 1, so that of
@@ -26,7 +26,7 @@ sets then share at least k.
    class, then the candidates that are still in different components.
 
 Only shuffle keys are hashes of texts: a class is identified by the 64-bit hash of its text and its
-number of shingles. Null texts and texts without words have an empty set and no link. Repeated rows
+number of shingles, in graphs as one number that holds both (``_node``). Null texts and texts without words have an empty set and no link. Repeated rows
 and equal ids are documents of their own, with the smallest id of the component. A null id stays
 null as its own component unless it is linked. Other columns do not pass through.
 
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.graph import SMALL, connected_components
 from emberlog.llm.pieces import runs
+from emberlog.llm.skew import by_weight
 from emberlog.llm.words import let, unused
 from emberlog.session import checkpointed, discard, stored
 
@@ -58,6 +59,7 @@ HEAD = 32  # index shingles of a long class that its postings carry in the later
 MOST_BITS = 1 << 27
 #: Rows that are broadcast at most when documents are dropped; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+NODE = "decimal(38,0)"
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -181,11 +183,12 @@ def _set_rows(bits: np.ndarray):
 def _active(rows: DataFrame) -> DataFrame:
     """Postings that may meet others: token, rid, pos (in the set), frequent."""
     own = rows.select(F.posexplode("tokens").alias("pos", "token"), "rid").filter("token >= 0").select("token", "rid", "pos")
-    told = rows.select(F.explode("told").alias("token"), F.lit(-1).cast("long").alias("rid"), F.lit(-1).alias("pos"))
-    # A list holds at most FREQUENT postings from a run of texts.
-    same = Window.partitionBy("token")
-    counted = own.unionByName(told).withColumn("df", F.count("*").over(same)).withColumn("told", F.min("pos").over(same) < 0)
-    return counted.filter("rid >= 0 AND (df > 1 OR told)").select("token", "rid", "pos", (F.col("told") | (F.col("df") > FREQUENT)).alias("frequent"))
+    told = rows.select(F.explode("told").alias("token"), F.lit(True).alias("told"))
+    counted = own.select("token", F.lit(False).alias("told")).unionByName(told).groupBy("token").agg(F.count("*").alias("df"), F.bool_or("told").alias("told"))
+    shared = stored(counted.filter("df > 1 OR told").select("token", "df", (F.col("told") | (F.col("df") > FREQUENT)).alias("frequent")), "shared")
+    active = stored(by_weight(own, shared, ["token"], "df").select("token", "rid", "pos", "frequent"), "active")
+    discard(shared)
+    return active
 
 
 def _classes(rows: DataFrame, active: DataFrame) -> DataFrame:
@@ -255,8 +258,13 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(both.select("ka", "na", "kb", "nb"))
 
 
+def _node(key: str, n: str) -> Column:
+    """A class as one number, which no other class has: the hash of its text, then 32 bits for its number of shingles."""
+    return (F.col(key).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(n).cast("decimal(10,0)")).cast(NODE)
+
+
 def _nodes(links: DataFrame) -> DataFrame:
-    return links.select(F.xxhash64("ka", "na").alias("u"), F.xxhash64("kb", "nb").alias("v"))
+    return links.select(_node("ka", "na").alias("u"), _node("kb", "nb").alias("v"))
 
 
 def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -274,13 +282,17 @@ def _grown(parts: DataFrame | None, links: DataFrame) -> DataFrame:
     label = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"{c}_"))
     met = ends.join(label("u"), "u").join(label("v"), "v").filter("u_ <> v_").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
     merged = connected_components(met).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return checkpointed(every.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+    if few:  # at most two labels a link
+        joined = every.join(F.broadcast(merged), "component", "left")
+    else:
+        joined = by_weight(every, checkpointed(merged.join(every.groupBy("component").agg(F.count("*").alias("rows")), "component")), ["component"], "rows", "left")
+    return checkpointed(joined.select("node", F.coalesce("into", "component").alias("component")))
 
 
 def _labelled(df: DataFrame, parts: DataFrame, key: str, n: str, name: str) -> DataFrame:
     """Adds the component of (key, n) as ``name``."""
     own = parts.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
-    return df.withColumn("_node", F.xxhash64(key, n)).join(own, "_node", "left").withColumn(name, F.coalesce("_part", "_node")).drop("_node", "_part")
+    return df.withColumn("_node", _node(key, n)).join(own, "_node", "left").withColumn(name, F.coalesce("_part", "_node")).drop("_node", "_part")
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -296,9 +308,9 @@ def _long_index(sets: DataFrame) -> DataFrame:
     ``index`` is their number in the set, ``alone`` the share in a thousand of shingles in no other set.
     """
     each = sets.select("key", "n", F.explode("tokens").alias("token"))
-    shared = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = checkpointed(each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     own = Window.partitionBy("key", "n")
-    ranked = each.join(shared, "token").withColumn("met", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
+    ranked = by_weight(each, shared, ["token"], "df").withColumn("met", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "token")))
     # Those in no other set are rarest of all.
     index = F.col("met") - needed(F.col("n")) + 1
     alone = F.floor((F.col("n") - F.col("met")) * 1000 / F.col("n"))
@@ -318,10 +330,10 @@ def _long_links(sets: DataFrame, parts: DataFrame) -> DataFrame:
         free = F.when(~F.col("was"), F.col("mark"))
         sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"), F.count(free).alias("free"), F.min(free).alias("first"))
         largest = F.struct("size", "component")
-        per_list = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", largest).alias("main"), (F.sum("free") - F.max_by("free", largest)).alias("waiting"), F.min("first").alias("first"))
-        mixed = checkpointed(per_list.filter("parts > 1 AND waiting > 0").select("token", "main", "waiting", "first"))
+        per_list = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max_by("component", largest).alias("main"), (F.sum("free") - F.max_by("free", largest)).alias("waiting"), F.min("first").alias("first"))
+        mixed = checkpointed(per_list.filter("parts > 1 AND waiting > 0").select("token", "size", "main", "waiting", "first"))
         hub = F.col("mark") == F.col("first") if turn < 2 else (F.col("component") != F.col("main")) & (F.col("mark") * F.col("waiting") <= HUBS << 30)
-        open_ = stored(placed.join(mixed, "token").withColumn("hub", ~F.col("was") & hub).select("token", "key", "n", "alone", "component", "was", "hub"), "turn")
+        open_ = stored(by_weight(placed, mixed, ["token"], "size").withColumn("hub", ~F.col("was") & hub).select("token", "key", "n", "alone", "component", "was", "hub"), "turn")
         found = checkpointed(_hub_pairs(open_, heads if turn >= 2 else None))
         parts = _grown(parts, _linked(found, sets))
         discard(postings)
@@ -358,8 +370,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """node (the hash of a class) and component, for classes with a link."""
-    active = stored(_active(rows), "active")
+    """node (a class, see ``_node``) and component, for classes with a link."""
+    active = _active(rows)
     classes = stored(_classes(rows, active), "classes")
     pairs = stored(_candidates(active, classes), "pairs")
     discard(active)
@@ -385,12 +397,12 @@ def _membership(docs: DataFrame) -> DataFrame:
     parts = components(docs, rows)
     discard(rows)
     full = counted.filter("n > 0")
-    classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     named = stored(_labelled(classes, parts, "key", "n", "component"), "named")
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    resolved = named.join(lowest, "component").select("key", "n", "component", "component_id")
-    joined = full.join(resolved, ["key", "n"]).select("doc_id", "key", "n", "component", "component_id")
-    return joined.unionByName(counted.filter("n = 0").select("doc_id", "key", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+    lowest = checkpointed(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes")))
+    resolved = stored(by_weight(named, lowest, ["component"], "classes").select("key", "n", "rows", "component", "component_id"), "resolved")
+    joined = by_weight(full, resolved, ["key", "n"], "rows").select("doc_id", "key", "n", "component", "component_id")
+    return joined.unionByName(counted.filter("n = 0").select("doc_id", "key", "n", F.lit(None).cast(NODE).alias("component"), F.col("doc_id").alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -406,8 +418,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     members = stored(_membership(docs).filter("component IS NOT NULL").groupBy("component", "doc_id", "key").agg(F.count("*").alias("rows")), "members")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = members.groupBy("component").agg(F.min(order).alias("best"))
-    judged = members.join(best, "component").select("doc_id", "key", "rows", F.col("best").eqNullSafe(order).alias("kept"))
+    best = checkpointed(members.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("members")))
+    judged = by_weight(members, best, ["component"], "members").select("doc_id", "key", "rows", F.col("best").eqNullSafe(order).alias("kept"))
     judged = stored(judged.filter("NOT kept OR rows > 1"), "judged")
     own = unused("_key", docs.columns)
     keyed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
