@@ -13,6 +13,9 @@ cost nothing wherever they are, fill up the shards.
 
 The law is ``rows``: counts of two shards are at most one apart, whatever the groups' sizes.
 
+A group is named by the SHA-256 of its text. Rows meet their group's size and shard by ``skew``, so that
+no group, however large, is one task's work.
+
 Null texts are empty and equal to each other and to empty texts. Repeated rows are documents of their
 own. Other columns do not pass through. An empty table gives an empty result.
 """
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.ranking import offset_by_bucket
+from emberlog.llm.skew import by_weight
 from emberlog.session import checkpointed
 
 SHARDS = 24
@@ -74,7 +78,7 @@ def _granted(groups: DataFrame, room: list[int]) -> DataFrame:
 
 
 def _propagated(groups: DataFrame, room: list[int]) -> tuple[DataFrame | None, DataFrame]:
-    """Settled groups (group, shard), and those that fit nowhere. Takes from ``room``."""
+    """Settled groups (group, n_same, shard), and those that fit nowhere. Takes from ``room``."""
     settled = None
     while True:
         asked = checkpointed(_granted(_wishes(groups, room).filter("best IS NOT NULL"), room))
@@ -83,7 +87,7 @@ def _propagated(groups: DataFrame, room: list[int]) -> tuple[DataFrame | None, D
             return settled, groups
         for r in taken:
             room[r["best"]] -= r["n"]
-        new = asked.filter("granted").select("group", F.col("best").cast("int").alias("shard"))
+        new = asked.filter("granted").select("group", "n_same", F.col("best").cast("int").alias("shard"))
         settled = new if settled is None else settled.unionByName(new)
         nowhere = _wishes(groups, [r + sum(x["n"] for x in taken if x["best"] == s) for s, r in enumerate(room)]).filter("best IS NULL").drop("best")
         groups = checkpointed(asked.filter("NOT granted").drop("best", "granted").unionByName(nowhere))
@@ -92,9 +96,9 @@ def _propagated(groups: DataFrame, room: list[int]) -> tuple[DataFrame | None, D
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 8), text_crc32, n_same (documents of equal text), shard, slot (0, 1, ... in the shard)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("key"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("group"))
     # Numbered once and written, so numbers hold when a task runs again.
-    base = checkpointed(narrow.withColumn("rid", F.monotonically_increasing_id()).withColumn("group", F.xxhash64("key", "text_crc32", "size")).drop("key"))
+    base = checkpointed(narrow.withColumn("rid", F.monotonically_increasing_id()))
     total = base.count()
     room = [total // shards + (s < total % shards) for s in range(shards)]
 
@@ -102,7 +106,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     held = base.groupBy("group", start).agg(F.count("*").alias("n"))
     # At most one entry a shard in each group's map.
     groups = checkpointed(held.groupBy("group").agg(F.sum("n").alias("n_same"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held")))
-    known = checkpointed(base.join(groups.select("group", "n_same"), "group"))
+    known = checkpointed(by_weight(base, groups.select("group", "n_same"), ["group"], "n_same"))
 
     limit = total // shards
     linked = groups.filter("n_same > 1")
@@ -113,10 +117,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     labels = []
     if settled is not None:
-        labels.append(known.filter((F.col("n_same") > 1) & (F.col("n_same") <= limit)).join(settled, "group").select("rid", "shard"))
+        own = known.filter((F.col("n_same") > 1) & (F.col("n_same") <= limit)).select("rid", "group")
+        labels.append(by_weight(own, settled, ["group"], "n_same").select("rid", "shard"))
     if parts:
         cuts = [(g, [s for s, _ in p], [sum(n for _, n in p[: i + 1]) for i in range(len(p))]) for g, p in parts]
-        cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "group long, shards array<int>, ends array<long>"))
+        cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "group binary, shards array<int>, ends array<long>"))
         spots = _ranked(known.filter("n_same > 1").select("rid", "group").join(cut, "group"), ["group"], "spot")
         labels.append(spots.select("rid", F.get("shards", F.size(F.filter("ends", lambda e: e <= F.col("spot")))).alias("shard")))
 
