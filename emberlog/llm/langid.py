@@ -4,8 +4,9 @@ The network reads windows of about ``WINDOW`` bytes, spaces included, in both di
 every position with a language distribution; a document's distribution pools the log probabilities of
 all its positions. Windows are cut before a character, never inside one, and every byte of a text is
 in one window. It is trained in numpy by backpropagation through time on a bounded sample of labelled
-rows: per language up to about twice ``SAMPLE_ROWS`` of them, of each an excerpt of ``EXCERPT``
-characters at a hashed place.
+rows: per language up to about twice ``SAMPLE_ROWS`` of them, and about ``MOST_ROWS`` in all, of each
+an excerpt of ``EXCERPT`` characters at a hashed place. States and training steps grow with the number
+of languages. A fifth of the sample is not trained on: it calibrates the scores.
 
 A text that is null or has no letter is ``und`` with score 0. Repeated rows are predicted once each;
 an empty table gives an empty result; without any labelled row every document is ``und``. Languages,
@@ -14,6 +15,8 @@ sources and ids are no inputs of a prediction. Other columns do not pass through
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +30,19 @@ from emberlog.llm.pieces import runs
 
 SAMPLE_ROWS = 150
 EXCERPT = 2000
-HIDDEN = 10
+MOST_ROWS = 30_000
+HIDDEN = 10  # states a direction for up to FEW languages; beyond, they grow with the root of the number
+STEPS = 150  # for up to FEW languages; beyond, they grow with the power GROWTH of the number
+FEW = 4
+GROWTH = 0.75
 WINDOW = 128
-STEPS = 150
 BATCH = 128  # windows of a training step
 STRIP = 2048  # windows read together; their states stay in the processor's cache
 RUN_BYTES = 4 << 20  # texts cut into windows together
-# Positions of one text are far from independent: evidence counts per so many of them.
-POSITIONS_PER_WORD = 6.0
+# Positions of one text are far from independent: evidence counts per so many of them. The number that
+# fits best is taken, the first one where there is nothing to calibrate with.
+POSITIONS = [6.0, 1.5, 3.0, 12.0, 24.0, 48.0, 96.0, 192.0, 384.0]
+FOLD = 5  # of so many labelled rows of a language one is for calibration
 
 
 @dataclass
@@ -89,7 +97,9 @@ class Direction:
             du[:, 2 * h :] += rs.T @ dc
             ds = ds * (1 - z) + drs * r + da[:, : 2 * h] @ self.u[:, : 2 * h].T
         dw = np.zeros_like(self.w)
-        np.add.at(dw, x.reshape(-1), each.reshape(-1, 3 * h))
+        order = np.argsort(x, axis=None, kind="stable")
+        found, firsts = np.unique(x.reshape(-1)[order], return_index=True)
+        dw[found] = np.add.reduceat(each.reshape(-1, 3 * h)[order], firsts)
         return [dw, du, dw.sum(axis=0)]
 
 
@@ -100,6 +110,7 @@ class Model:
     back: Direction
     out: np.ndarray  # (2H, L)
     bias: np.ndarray
+    positions: float = POSITIONS[0]
 
     def states(self, x: np.ndarray, keep: bool = False):
         a, sa = self.ahead.forward(x, keep)
@@ -168,18 +179,26 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends - starts, text
 
 
-def new_model(languages: list[str], hidden: int = HIDDEN, seed: int = 0) -> Model:
+def new_model(languages: list[str], hidden: int | None = None, seed: int = 0) -> Model:
     rng = np.random.default_rng(seed)
+    hidden = hidden or math.ceil(HIDDEN * math.sqrt(max(1.0, len(languages) / FEW)))
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(max(shape[0], 1) if shape[0] != 256 else 4)).astype(np.float32)
     layer = lambda: Direction(draw(256, 3 * hidden), draw(hidden, 3 * hidden), np.zeros(3 * hidden, np.float32))
     return Model(languages, layer(), layer(), draw(2 * hidden, len(languages)), np.zeros(len(languages), np.float32))
 
 
 def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Model:
-    """Fits (text, language) rows: Adam on random windows of whole characters, each language as likely as another."""
-    own = {}
-    for lang in sorted({lang for _, lang in rows}):
-        texts = [t.encode("utf-8") for t, of in rows if of == lang and t]
+    """Fits (text, language) rows: Adam on random windows of whole characters, each language as likely as another.
+
+    ``steps`` is for up to ``FEW`` languages. One row of ``FOLD`` of a language is kept for ``calibrate``.
+    """
+    own, kept, by_lang = {}, [], defaultdict(list)
+    for text, lang in rows:
+        if text:
+            by_lang[lang].append(text)
+    for lang in sorted(by_lang):
+        kept += [(t, lang) for t in by_lang[lang][FOLD - 1 :: FOLD]]
+        texts = [t.encode("utf-8") for i, t in enumerate(by_lang[lang]) if i % FOLD != FOLD - 1]
         data = np.frombuffer(b"".join(texts), np.uint8)
         if len(data):
             own[lang] = data, *windows(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))[:2]
@@ -187,6 +206,7 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Mod
     model, rng = new_model(languages, seed=seed), np.random.default_rng(seed)
     if not own:
         return model
+    steps = math.ceil(steps * max(1.0, len(languages) / FEW) ** GROWTH)
     params = model.parameters()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
@@ -205,26 +225,38 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> Mod
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+    model.positions = calibrate(model, kept)
     return model
 
 
+def calibrate(model: Model, rows: list[tuple[str, str]]) -> float:
+    """Of ``POSITIONS`` the number under which the labels of rows that were not trained on are likeliest."""
+    if not rows:
+        return POSITIONS[0]
+    total = _evidence(model, pa.array([text for text, _ in rows], pa.string()))
+    own = np.arange(len(rows)), np.array([model.languages.index(lang) for _, lang in rows])
+    likely = lambda n: np.log(np.maximum(_probabilities(total, n)[own], 1e-12)).mean()
+    return max(POSITIONS, key=likely)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for ids whose CRC-32 as text leaves 2 modulo 4; a null id is not held out, nor learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """Excerpts of about 2 x ``rows`` labelled texts per language at most, not held out.
+    """Excerpts of about 2 x ``rows`` labelled texts per language at most, about ``MOST_ROWS`` in all, not held out.
 
-    Rows are chosen by the hash of the id, in proportion to a language's count, so the sample grows with
-    the number of languages and not with the input. Every language has examples; how many the network can
-    tell apart is bounded by its fixed size (see README).
+    Rows are chosen by the hash of the id, in proportion to a language's count, so the sample does not grow
+    with the input. With more than ``MOST_ROWS`` / (2 x ``rows``) languages each has its equal share.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     narrow = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), mark.alias("mark"))
-    # A row per language.
-    share = narrow.groupBy("lang").agg(F.least(F.lit(1.0), 2 * rows / F.count("*")).alias("share"))
+    # A row per language, gathered to know their number.
+    counts = narrow.groupBy("lang").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("lang", "n")).alias("all"))
+    each = counts.select(F.explode("all").alias("own"), F.least(F.lit(2.0 * rows), MOST_ROWS / F.size("all")).alias("most"))
+    share = each.select("own.lang", F.least(F.lit(1.0), F.col("most") / F.col("own.n")).alias("share"))
     chosen = narrow.join(F.broadcast(share), "lang").filter(F.pmod("mark", F.lit(1 << 24)) <= F.col("share") * (1 << 24))
     at = F.pmod(F.shiftright("mark", 24), F.greatest(F.char_length("text") - EXCERPT, F.lit(0)) + 1)
     got = chosen.select(F.substring(F.col("text"), at.cast("int") + 1, F.lit(EXCERPT)).alias("text"), "lang", "mark").collect()
@@ -240,7 +272,7 @@ def _predictor(model: Model | None):
             for texts in runs(b.column("text"), RUN_BYTES):
                 known = letters[begin : begin + len(texts)]
                 begin += len(texts)
-                pooled = _pooled(model, texts) if model else np.zeros((len(texts), 1))
+                pooled = _probabilities(_evidence(model, texts), model.positions) if model else np.zeros((len(texts), 1))
                 best = pooled.argmax(axis=1)
                 scores += np.where(known & (model is not None), pooled[np.arange(len(best)), best], 0.0).tolist()
                 names += [model.languages[k] if model and ok else "und" for k, ok in zip(best, known, strict=True)]
@@ -249,8 +281,8 @@ def _predictor(model: Model | None):
     return run
 
 
-def _pooled(model: Model, texts: pa.Array) -> np.ndarray:
-    """Document probabilities (texts, L)."""
+def _evidence(model: Model, texts: pa.Array) -> np.ndarray:
+    """Log probabilities summed over all positions of each text, (texts, L)."""
     plain = pc.fill_null(texts, "")
     sizes = pc.binary_length(plain).to_numpy().astype(np.int64)
     data = np.frombuffer(b"".join(x.as_buffer() for x in plain), np.uint8)
@@ -258,8 +290,13 @@ def _pooled(model: Model, texts: pa.Array) -> np.ndarray:
     total = np.zeros((len(plain), len(model.languages)))
     if len(starts):
         np.add.at(total, text, model.window_sums(data, starts, lengths))
-    total = np.exp((total - total.max(axis=1, keepdims=True)) / POSITIONS_PER_WORD)
-    return total / total.sum(axis=1, keepdims=True)
+    return total
+
+
+def _probabilities(total: np.ndarray, positions: float) -> np.ndarray:
+    """Document probabilities (texts, L) from evidence that counts per ``positions`` positions."""
+    shares = np.exp((total - total.max(axis=1, keepdims=True)) / positions)
+    return shares / shares.sum(axis=1, keepdims=True)
 
 
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -327,6 +327,21 @@ def test_language_held_out_accuracy(table_docs):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in judged) >= 0.9 * len(judged)
 
 
+def test_many_languages_over_one_alphabet():
+    """Twelve made-up vocabularies: accuracy on other texts, and scores that say how often they are right."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(12):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(200)]
+        rows += [(" ".join(rng.choice(words, 60)), f"l{k:02}") for _ in range(60)]
+    model = langid.train([r for i, r in enumerate(rows) if i % 4 != 2])
+    other = [r for i, r in enumerate(rows) if i % 4 == 2]
+    found = langid._probabilities(langid._evidence(model, pa.array([t for t, _ in other])), model.positions)
+    right = np.mean([model.languages[k] == lang for k, (_, lang) in zip(found.argmax(axis=1), other, strict=True)])
+    assert right >= 0.9
+    assert abs(found.max(axis=1).mean() - right) < 0.05
+
+
 def test_language_odd_cases(docs):
     rows = langid.identify(docs).collect()
     assert len(rows) == len(ROWS)
