@@ -342,6 +342,19 @@ def test_many_languages_over_one_alphabet():
     assert abs(found.max(axis=1).mean() - right) < 0.05
 
 
+def test_language_sample_is_bounded_in_all(spark, monkeypatch):
+    """Beyond the bound every language gives its equal share, a rare one all it has."""
+    rows = [(i, f"text {i}", f"l{i % 6}") for i in range(3000)] + [(9000 + i, f"rare {i}", "rare") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MOST_ROWS", 350)
+    got = Counter(lang for _, lang in langid.sample(docs, 100))
+    left = sum(zlib.crc32(str(9000 + i).encode()) % 4 != 2 for i in range(12))
+    assert got["rare"] == left
+    assert all(20 <= got[f"l{k}"] <= 90 for k in range(6))
+    monkeypatch.setattr(langid, "MOST_ROWS", 30_000)
+    assert all(150 <= n <= 250 for lang, n in Counter(lang for _, lang in langid.sample(docs, 100)).items() if lang != "rare")
+
+
 def test_language_odd_cases(docs):
     rows = langid.identify(docs).collect()
     assert len(rows) == len(ROWS)
