@@ -44,7 +44,8 @@ MOST_BITS = 1 << 28
 HOT_RUNS = 16  # runs that hold a symbol before its windows are dealt by hash
 HOT_SYMBOLS = 1 << 16
 PARTS = 64
-RUN_BYTES = 3 << 20  # texts worked on together; their arrays take some forty times as much
+RUN_BYTES = 3 << 20  # texts worked on together
+STRETCH = 1 << 16  # bytes whose words are named together; only these have arrays of eight bytes a byte
 _U = np.uint64
 _LEVEL = _U(62)
 
@@ -58,26 +59,40 @@ def _mix(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-_BASES = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]  # odd, so they have inverses
-_POWERS: list[np.ndarray] = []
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]  # odd, so they have inverses
+_AHEAD, _BACK = ([np.concatenate([np.ones(1, _U), np.cumprod(np.full(STRETCH - 1, x, _U))]) for x in bases] for bases in (_BASES, [pow(x, -1, 1 << 64) for x in _BASES]))
+_BYTES = [_mix(np.arange(256, dtype=_U), _U(k)) for k in (1, 2)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the bases, then those of their inverses."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        room = 1 << max(n, 2).bit_length()
-        inverses = [_U(pow(int(x), -1, 1 << 64)) for x in _BASES]
-        _POWERS[:] = [np.concatenate([np.ones(1, _U), np.cumprod(np.full(room, x, _U))]) for x in (*_BASES, *inverses)]
-    return _POWERS
+def _digits(data: np.ndarray, k: int) -> np.ndarray:
+    """Of at most STRETCH bytes, as digits of polynomial k: their sums up to each."""
+    return np.cumsum(_BYTES[k][data] * _AHEAD[k][: len(data)])
 
 
-_BYTES = [_mix(np.arange(256, dtype=_U), _U(k)) for k in (1, 2)]
+def _halves(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Values of both polynomials of the words at first..last, over a stretch of whole words at a time; a longer word is summed up by stretches."""
+    halves, i = [np.empty(len(first), _U) for _ in _BASES], 0
+    while i < len(first):
+        begin = int(first[i])
+        j = max(int(np.searchsorted(last, begin + STRETCH)), i + 1)
+        end = int(last[j - 1]) + 1
+        for k, half in enumerate(halves):
+            if end - begin > STRETCH:
+                cuts = range(begin, end, STRETCH)
+                half[i] = sum(int(_digits(data[c : min(c + STRETCH, end)], k)[-1]) * pow(_BASES[k], c - begin, 1 << 64) for c in cuts) % (1 << 64)
+            else:
+                sums = _digits(data[begin:end], k)
+                half[i:j] = sums[last[i:j] - begin]
+                half[i + 1 : j] -= sums[first[i + 1 : j] - begin - 1]
+                half[i:j] *= _BACK[k][first[i:j] - begin]
+        i = j
+    return halves
 
 
 def word_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Names of all words of the texts, one text after another, and where each text begins (one more at the end).
 
-    A word's bytes are digits of two polynomials; sums over all texts up to each byte give those of a word as a difference.
+    A word's bytes are digits of two polynomials; sums over the bytes of many words give those of a word as a difference.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
@@ -85,20 +100,14 @@ def word_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not size:
         return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(at[0]))
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    space = data - np.uint8(9) <= 4
+    space |= data == 32
     edge = np.zeros(size + 1, bool)
+    np.not_equal(space[1:], space[:-1], out=edge[1:-1])
     edge[offsets] = True
-    before, after = np.ones(size, bool), np.ones(size, bool)
-    before[1:] = space[:-1]
-    after[:-1] = space[1:]
-    first = np.flatnonzero(~space & (before | edge[:-1]))
-    last = np.flatnonzero(~space & (after | edge[1:]))
-    powers, halves = _powers(size), []
-    for k in range(2):
-        sums = np.cumsum(_BYTES[k][data] * powers[k][:size])
-        total = sums[last]
-        total[first > 0] -= sums[first[first > 0] - 1]
-        halves.append(total * powers[2 + k][first])
+    word = np.logical_not(space, out=space)
+    first, last = np.flatnonzero(word & edge[:-1]), np.flatnonzero(word & edge[1:])
+    halves = _halves(data, first, last)
     names = _mix(_mix(halves[0], (last - first).astype(_U)), halves[1])
     return names, np.searchsorted(first, offsets)
 
