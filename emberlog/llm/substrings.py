@@ -26,6 +26,7 @@ through ``dedup``; ``without_repeats`` keeps them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ HOT_SYMBOLS = 1 << 16
 PARTS = 64
 RUN_BYTES = 3 << 20  # texts worked on together
 STRETCH = 1 << 16  # bytes whose words are named together; only these have arrays of eight bytes a byte
+LONG = 256  # bytes of a word, at most STRETCH; polynomials modulo 2^64 are equal for some unlike words of 1,024 bytes
 _U = np.uint64
 _LEVEL = _U(62)
 
@@ -64,35 +66,29 @@ _AHEAD, _BACK = ([np.concatenate([np.ones(1, _U), np.cumprod(np.full(STRETCH - 1
 _BYTES = [_mix(np.arange(256, dtype=_U), _U(k)) for k in (1, 2)]
 
 
-def _digits(data: np.ndarray, k: int) -> np.ndarray:
-    """Of at most STRETCH bytes, as digits of polynomial k: their sums up to each."""
-    return np.cumsum(_BYTES[k][data] * _AHEAD[k][: len(data)])
-
-
 def _halves(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Values of both polynomials of the words at first..last, over a stretch of whole words at a time; a longer word is summed up by stretches."""
+    """Values of both polynomials of the words at first..last, over a stretch of whole words at a time; of words over LONG bytes, their digest."""
     halves, i = [np.empty(len(first), _U) for _ in _BASES], 0
     while i < len(first):
         begin = int(first[i])
-        j = max(int(np.searchsorted(last, begin + STRETCH)), i + 1)
-        end = int(last[j - 1]) + 1
-        for k, half in enumerate(halves):
-            if end - begin > STRETCH:
-                cuts = range(begin, end, STRETCH)
-                half[i] = sum(int(_digits(data[c : min(c + STRETCH, end)], k)[-1]) * pow(_BASES[k], c - begin, 1 << 64) for c in cuts) % (1 << 64)
-            else:
-                sums = _digits(data[begin:end], k)
+        j = int(np.searchsorted(last, begin + STRETCH))
+        if j > i:  # else a word longer than a stretch
+            part = data[begin : int(last[j - 1]) + 1]
+            for k, half in enumerate(halves):
+                sums = np.cumsum(_BYTES[k][part] * _AHEAD[k][: len(part)])
                 half[i:j] = sums[last[i:j] - begin]
                 half[i + 1 : j] -= sums[first[i + 1 : j] - begin - 1]
                 half[i:j] *= _BACK[k][first[i:j] - begin]
-        i = j
+        i = max(j, i + 1)
+    for i in np.flatnonzero(last - first >= LONG):
+        halves[0][i], halves[1][i] = np.frombuffer(hashlib.blake2b(data[first[i] : last[i] + 1], digest_size=16).digest(), "<u8")
     return halves
 
 
 def word_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Names of all words of the texts, one text after another, and where each text begins (one more at the end).
 
-    A word's bytes are digits of two polynomials; sums over the bytes of many words give those of a word as a difference.
+    A word's bytes are digits of two polynomials; sums over the bytes of many words give those of a word as a difference. Long words are digested.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)

@@ -288,19 +288,22 @@ def test_repeats_in_random_runs(spark):
     assert got == brute.repeats(rows)
 
 
-@pytest.mark.parametrize("stretch", [16, 64, substrings.STRETCH])
+@pytest.mark.parametrize("stretch", [substrings.LONG, 1000, substrings.STRETCH])
 def test_word_names_whatever_the_stretch(monkeypatch, stretch):
-    """Against plain polynomials: words longer than a stretch, at its ends and at those of texts."""
+    """Against plain polynomials and digests: words longer than a stretch, at its ends and at those of texts."""
     monkeypatch.setattr(substrings, "STRETCH", stretch)
-    texts = ["not read", None, "", "a", "x" * 16 + " " + "x" * 17, " lead tail\n", "ab", "ab cd " * 40, "é" * 300 + "\tend", "z" * 70_000, *[t for _, t in IDS], "last"]
+    texts = ["not read", None, "", "a", *["x" * n + " " + "y" * m for n in (254, 255, 256, 257) for m in (1, 256, 257)], " lead tail\n", "ab", "ab cd " * 40, "é" * 300 + "\tend", "z" * 70_000, *[t for _, t in IDS], "last"]
 
     @functools.cache
     def name(word: str) -> int:
-        values = [0, 0]
-        for b in reversed(word.encode()):
+        data, values = word.encode(), [0, 0]
+        for b in reversed(data):
             values = [(v * substrings._BASES[k] + int(substrings._BYTES[k][b])) % (1 << 64) for k, v in enumerate(values)]
+        if len(data) > substrings.LONG:
+            digest = hashlib.blake2b(data, digest_size=16).digest()
+            values = [int.from_bytes(digest[i : i + 8], "little") for i in (0, 8)]
         low, high = (np.array([v], np.uint64) for v in values)
-        return int(substrings._mix(substrings._mix(low, np.uint64(len(word.encode()) - 1)), high)[0])
+        return int(substrings._mix(substrings._mix(low, np.uint64(len(data) - 1)), high)[0])
 
     names, bounds = substrings.word_names(pa.array(texts).slice(1))
     words = [brute.WORD.findall(t or "") for t in texts[1:]]
@@ -308,6 +311,17 @@ def test_word_names_whatever_the_stretch(monkeypatch, stretch):
     assert names.tolist() == [name(x) for w in words for x in w]
 
 
+def test_long_words_that_polynomials_take_for_equal(spark):
+    """Thue-Morse words, whose polynomials modulo 2^64 are equal at every odd base."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail}")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeats(rows) and [got[i][1] for i in (1, 2, 3)] == [0, 0, 20]
+
+
 @pytest.mark.parametrize("text", [" ".join(f"word{i}" for i in range(300_000)), "x" * (3 << 20)], ids=["words", "one word"])
 def test_word_names_take_little_memory(text):
     """No tables or sums of eight bytes for each byte of the texts; with them it was 28 to 73 times the text."""
